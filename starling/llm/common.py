@@ -90,3 +90,8 @@ def shingles(ids: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     for k in range(n):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + last])
     return h
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches small enough that a thousand very long texts still fit a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, shared_dir
+from .config_packing import pack_documents
 from .reply_trees import conversation_nodes, digest, format_trees
 from .shard_tree import shard_documents
+from .token_grammar import read_shards, write_shards
 
 
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +19,25 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_trees(conversation_nodes(rows.unionByName(own))))
 
 
+def op3_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    write_shards(read(spark, sf_dir, "documents"), path)
+    return read_shards(spark, path)
+
+
 def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_reply_trees": op2_reply_trees,
+    "op3_token_grammar": op3_token_grammar,
     "op5_hash_tree": op5_hash_tree,
+    "op8_config_packing": op8_config_packing,
 }
 
 SQL: dict[str, str] = {

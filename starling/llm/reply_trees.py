@@ -75,6 +75,7 @@ def chosen_paths(nodes: DataFrame, branches: int) -> DataFrame:
     best = Window.partitionBy("root").orderBy(F.desc(F.col("score") / F.col("steps")), F.desc("steps"), F.asc("id"))
     on = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("root", F.col("id").alias("leaf"), "id", "rank")
     for jump in jumps:
+        on = stored(on)  # read twice below, so that the plan would double with every round
         on = on.unionByName(on.join(jump, "id").select("root", "leaf", F.col("up").alias("id"), "rank"))
     return on.join(at.select("id", F.col("steps").alias("depth")), "id")
 
