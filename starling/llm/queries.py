@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, shared_dir
 from .config_packing import pack_documents
+from .debruijn import strip_repeats
 from .reply_trees import conversation_nodes, digest, format_trees
+from .secret_links import scan_documents
 from .shard_tree import shard_documents
+from .string_tiling import contaminated
 from .token_grammar import read_shards, write_shards
 
 
@@ -29,15 +32,30 @@ def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_reply_trees": op2_reply_trees,
     "op3_token_grammar": op3_token_grammar,
     "op5_hash_tree": op5_hash_tree,
+    "op6_secret_links": op6_secret_links,
     "op8_config_packing": op8_config_packing,
+    "op9_debruijn": op9_debruijn,
+    "op10_string_tiling": op10_string_tiling,
 }
 
 SQL: dict[str, str] = {
