@@ -177,8 +177,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_id
         encoder = Encoder(tokenizer)
         for f in frames:
             rows = []
-            for d, z, text in zip(f["doc_id"], f["none"], f["text"], strict=True):
-                ids = encoder.document(text)
+            for d, z, ids in zip(f["doc_id"], f["none"], encoder.documents(f["text"]), strict=True):
                 starts = [0, *range((len(ids) - 1) % capacity + 1, len(ids), capacity)]
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     part = np.ascontiguousarray(ids[a:b], "<u4")

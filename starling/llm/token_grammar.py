@@ -49,7 +49,7 @@ def _chosen(left: list[int], right: list[int], most: int) -> list[int]:
     return out
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int, rounds: int = 6, least: int = 24, per_round: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int, rounds: int = 4, least: int = 24, per_round: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2) and end marks. ends marks the last id of each document; nonterminals count from first.
 
     At most ``most`` rules; a pair counts if it occurs ``least`` times. ``per_round`` bounds the pairs of one round.
@@ -184,32 +184,34 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = 1 << 20, vocabulary: int = 50_257) -> None:
-    """Writes docs (doc_id, text) in ascending doc_id order as a table of shards (part, shard, n_docs, n_tokens, image).
+    """Writes docs (doc_id, text) in ascending doc_id order as a table of shards (part, before, n_docs, n_tokens, image).
+
+    before counts the part's tokens ahead of the shard, so that a reader needs the parts' sums only.
 
     Null doc_ids come first, equal ones by text; null text is empty; an empty table writes an empty one.
     """
     small_batches(docs.sparkSession)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, shard, ids, held, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        encoder, part, before, ids, held, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "shard": [shard], "n_docs": [len(ids)], "n_tokens": [size], "image": [pack(ids, held, vocabulary)]})
+            return pd.DataFrame({"part": [part], "before": [before], "n_docs": [len(ids)], "n_tokens": [size], "image": [pack(ids, held, vocabulary)]})
 
         for f in frames:
-            for d, z, text in zip(f["doc_id"], f["none"], f["text"], strict=True):
+            for d, z, found in zip(f["doc_id"], f["none"], encoder.documents(f["text"]), strict=True):
                 ids.append(None if z else d)
-                held.append(encoder.document(text))
+                held.append(found)
                 size += len(held[-1])
                 if size >= shard_tokens:
                     yield out()
-                    shard, ids, held, size = shard + 1, [], [], 0
+                    before, ids, held, size = before + size, [], [], 0
         if ids:
             yield out()
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.desc("none"), "doc_id").sortWithinPartitions(F.desc("none"), "doc_id", "text")
-    rows.mapInPandas(encode, "part int, shard int, n_docs bigint, n_tokens bigint, image binary").write.parquet(path)
+    rows.mapInPandas(encode, "part int, before bigint, n_docs bigint, n_tokens bigint, image binary").write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -218,9 +220,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # one row for each task of the write: its number is a setting, not the data's
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inside = Window.partitionBy("part").orderBy("shard")
-    first = shards.select("part", "shard", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("shard_start")).join(parts, "part")
-    rows = shards.join(first.select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("start")), ["part", "shard"]).select("start", "image")
+    rows = shards.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "image")
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

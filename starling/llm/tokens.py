@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: id appended to each document (a fixed value of the file format).
 END_ID = 0
@@ -27,6 +30,10 @@ def visible() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(0x100 + k) for k, b in enumerate(others)}
 
 
+#: Marks that may follow a word and never start a contraction by themselves (fixed value).
+TAILS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Unsafe(Exception):
     """A piece that white space touches at an end; the text around it has to be encoded at once."""
 
@@ -37,13 +44,26 @@ class _Pieces(dict):
     def __init__(self, raw, prefix: str, most: int) -> None:
         super().__init__()
         self.raw, self.prefix, self.most = raw, prefix, most
+        self.tails, self.lines = self, None
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and piece.isascii():  # one pre-token
+            ids = array("I", [t.id for t in self.tokenize(self.shown + piece)]).tobytes()
+            if len(self) < self.most:
+                self[piece] = ids
+            return ids
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise Unsafe
-        if len(self) >= self.most:
-            self.clear()
-        ids = self[piece] = self.raw(self.prefix + piece)
+        if "\n" in piece and self.lines is not None:
+            head, *lines = piece.split("\n")
+            return self.line_feed.join([self[head], *map(self.lines.__getitem__, lines)])
+        core = piece.rstrip(TAILS)
+        if core != piece and core and core[-1].isalnum():  # a pre-token ends there
+            ids = self[core] + self.tails[piece[len(core) :]]
+        else:
+            ids = self.raw(self.prefix + piece)
+        if len(self) < self.most:  # the frequent ones come early
+            self[piece] = ids
         return ids
 
 
@@ -52,10 +72,10 @@ class Encoder:
 
     Its pre-tokenizer splits at every single space or line feed between two characters that aren't white space: the
     space goes with what follows, the line feed stands alone. So pieces cut there encode on their own and are
-    remembered, up to a bound. Lines, or texts, where white space meets white space are encoded whole.
+    remembered, up to a bound. Texts where white space meets white space, or an end, are encoded whole.
     """
 
-    def __init__(self, path: str | None = None, most: int = 500_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 600_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -63,39 +83,62 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.split = regex.compile(PATTERN).findall
-        self.visible = visible()
+        shown = visible()
+        self.visible = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
         self.heads, self.rest = _Pieces(self.piece, "", most // 3), _Pieces(self.piece, " ", most)
-        self.line_feed = self.raw("\n")
+        for pieces in (self.heads, self.rest):
+            pieces.tokenize, pieces.shown = self.model.tokenize, self.visible[0x20] if pieces.prefix else ""
+            pieces.tails, pieces.lines, pieces.line_feed = self.heads, self.heads, self.raw("\n")
 
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def piece(self, text: str) -> bytes:
         """The ids of a short text without inner white space: the library's model on each pre-token."""
-        if not text.isascii() and max(text) >= "\u0250":
-            return self.raw(text)  # leave letters and digits of other scripts to the library's own tables
-        tokenize, out = self.model.tokenize, array("I")
-        for part in [text] if text.lstrip(" ").isalpha() else self.split(text):
-            out.extend([t.id for t in tokenize(part.encode().decode("latin-1").translate(self.visible))])
-        return out.tobytes()
-
-    def line(self, line: str) -> bytes:
-        if not line or line[0].isspace() or line[-1].isspace():
-            raise Unsafe
-        head, *rest = line.split(" ")
         try:
-            return self.heads[head] + b"".join(map(self.rest.__getitem__, rest))
-        except Unsafe:
-            return self.raw(line)
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.raw(text)  # leave letters and digits of other scripts to the library's own tables
+        parts = [text] if text.isalpha() or text[0] == " " and text[1:].isalpha() else self.split(text)
+        return array("I", [t.id for part in parts for t in self.model.tokenize(part.translate(self.visible))]).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids as little-endian unsigned 32-bit integers."""
+        return self.documents([text], end=False)[0]
+
+    def safe(self, pieces: _Pieces, piece: str) -> bytes | None:
         try:
-            found = self.line_feed.join(map(self.line, text.split("\n")))
+            return pieces[piece]
         except Unsafe:
-            found = self.raw(text)
-        return np.frombuffer(found, "<u4")
-
-    def document(self, text: str | None) -> np.ndarray:
-        """The ids of a text (null: none) and the end id."""
-        return np.append(self.encode(text), np.uint32(END_ID)) if text else np.array([END_ID], "<u4")
+            return None
+
+    def documents(self, texts: Iterable[str | None], end: bool = True) -> list[np.ndarray]:
+        """The ids of each text (null: none), with the end id.
+
+        Arrow splits the texts at spaces and numbers the different pieces; only these are looked up one by one.
+        """
+        column = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
+        if not len(column):
+            return []
+        parts = pc.split_pattern(column, " ")
+        coded = parts.flatten().dictionary_encode()
+        codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        found = [self.safe(self.rest, x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        heads = coded.dictionary.take(pa.array(codes[offsets[:-1]])).to_numpy(zero_copy_only=False).tolist()
+        codes[offsets[:-1]] = len(found) + np.arange(len(column))  # no space stands before a text's first piece
+        found += [b"" if not x and n == 1 else self.safe(self.heads, x) for x, n in zip(heads, np.diff(offsets).tolist(), strict=True)]
+        unsafe = np.array([x is None for x in found])
+        table = np.frombuffer(b"".join([x or b"" for x in found]), "<u4")
+        length = np.array([len(x or b"") // 4 for x in found], np.int64)
+        start = np.cumsum(length) - length
+        n = length[codes]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = ends[offsets[1:] - 1]
+        whole = np.logical_or.reduceat(unsafe[codes], offsets[:-1])
+        tail = np.array([END_ID] if end else [], "<u4")
+        out = []
+        for k, (a, b) in enumerate(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)):
+            own = np.frombuffer(self.raw(column[k].as_py()), "<u4") if whole[k] else ids[a:b]
+            out.append(np.concatenate([own, tail]))
+        return out
