@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +97,35 @@ def shingles(ids: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches small enough that a thousand very long texts still fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def bit_table(keys: DataFrame, key: str, bits: int, slice_bits: int = 8) -> np.ndarray:
+    """2**bits bits with those of the keys set: 2**bits / 8 bytes at the driver, whatever the input.
+
+    A key (bigint) has the bit of its low bits, which should be uniform. Read with has_bit().
+    """
+    low = (1 << slice_bits) - 1
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for f in frames:
+            at = f[key].to_numpy() & ((1 << bits) - 1)
+            for s in np.unique(at & low).tolist():
+                own.setdefault(s, np.zeros(1 << (bits - slice_bits), bool))[at[at & low == s] >> slice_bits] = True
+        for s, x in own.items():
+            yield pd.DataFrame({"slice": [s], "image": [np.packbits(x).tobytes()]})
+
+    # every slice is made by one task, so that each reaches the driver once
+    spread = keys.select(key).repartition(F.col(key).bitwiseAND(low))
+    table = np.zeros((1 << slice_bits, 1 << (bits - slice_bits - 3)), np.uint8)
+    for r in spread.mapInPandas(build, "slice int, image binary").toLocalIterator():
+        table[r["slice"]] = np.frombuffer(r["image"], np.uint8)
+    return table
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (int64) may be in the table; never misses one that is."""
+    slice_bits, bits = len(table).bit_length() - 1, (table.size * 8).bit_length() - 1
+    at = keys & ((1 << bits) - 1)
+    inner = at >> slice_bits
+    return (table[at & (len(table) - 1), inner >> 3] >> (7 - (inner & 7)).astype(np.uint8) & 1).astype(bool)

@@ -1,0 +1,28 @@
+"""Connected components of a link table by Spark joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Of links (a, b), rows (id, component) of all ends; component is the smallest id that can be reached.
+
+    Each round every node takes the least label among its neighbours and then its label's label, so paths shorten
+    by halves. A hub's links are only ever joined and partially aggregated, never gathered.
+    """
+    links = links.where("a <> b").select("a", "b")
+    edges = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    for _ in range(most_rounds):
+        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        new = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        up = labels.select(F.col("id").alias("component"), F.col("component").alias("up"))
+        new = stored(new.join(up, "component", "left").select("id", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
+        labels = new.drop("old")
+        if not new.where("old <> component").take(1):
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, mix, small_batches, stored
+from .common import WordIds, bit_table, has_bit, mix, small_batches, stored
 
 _B = 0x9E3779B97F4A7C15
 
@@ -71,32 +71,6 @@ def paths(text: bytes, ids: WordIds, window: int, k: int) -> tuple[np.ndarray, n
     return least[first].view(np.int64), mix(content).view(np.int64), first, count, hashes.view(np.int64)
 
 
-def bit_of(minimizer: np.ndarray, bits: int) -> np.ndarray:
-    """A minimizer's bit: its low bits, which are uniform (the high ones aren't, as it is a minimum)."""
-    return minimizer & ((1 << bits) - 1)
-
-
-def bit_table(minimizers: DataFrame, bits: int, slice_bits: int = 8) -> np.ndarray:
-    """2**bits bits with those of the minimizers set: 2**bits / 8 bytes at the driver, whatever the input."""
-    low = (1 << slice_bits) - 1
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for f in frames:
-            at = bit_of(f["minimizer"].to_numpy(), bits)
-            for s in np.unique(at & low).tolist():
-                own.setdefault(s, np.zeros(1 << (bits - slice_bits), bool))[at[at & low == s] >> slice_bits] = True
-        for s, x in own.items():
-            yield pd.DataFrame({"slice": [s], "image": [np.packbits(x).tobytes()]})
-
-    # every slice is made by one task, so that each reaches the driver once
-    spread = minimizers.repartition(F.col("minimizer").bitwiseAND(low))
-    table = np.zeros((1 << slice_bits, 1 << (bits - slice_bits - 3)), np.uint8)
-    for r in spread.mapInPandas(build, "slice int, image binary").toLocalIterator():
-        table[r["slice"]] = np.frombuffer(r["image"], np.uint8)
-    return table
-
-
 def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> DataFrame:
     """Rows (doc_id, key, first, last): windows first … last of a row start in a document with a smaller doc_id too.
 
@@ -114,7 +88,7 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
 
     seen = rows.select("doc_id", "text").mapInPandas(minimizers, "minimizer bigint, doc_id bigint")
     seen = seen.groupBy("minimizer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minimizer")
-    table = spark.sparkContext.broadcast(bit_table(seen, bits))
+    table = spark.sparkContext.broadcast(bit_table(seen, "minimizer", bits))
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, bit = WordIds(), table.value
@@ -122,9 +96,7 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
             out: list[tuple] = []
             for d, key, t in zip(f["doc_id"], f["key"], f["text"], strict=True):
                 least, content, first, count, hashes = paths(t.encode(), ids, window, k)
-                at = bit_of(least, bits)
-                inner = at >> 8
-                for x in np.flatnonzero((bit[at & 255, inner >> 3] >> (7 - (inner & 7)).astype(np.uint8)) & 1).tolist() if len(at) else ():
+                for x in np.flatnonzero(has_bit(bit, least)).tolist():
                     a, n = int(first[x]), int(count[x])
                     out.append((int(least[x]), int(content[x]), d, key, a, n, hashes[a : a + n].tobytes()))
             yield pd.DataFrame(out, columns=["minimizer", "content", "doc_id", "key", "first", "n", "windows"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, shared_dir
 from .config_packing import pack_documents
 from .debruijn import strip_repeats
+from .jaccard_join import similar_classes
 from .reply_trees import conversation_nodes, digest, format_trees
 from .secret_links import scan_documents
 from .shard_tree import shard_documents
@@ -28,6 +29,10 @@ def op3_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, path)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(read(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_reply_trees": op2_reply_trees,
     "op3_token_grammar": op3_token_grammar,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_hash_tree": op5_hash_tree,
     "op6_secret_links": op6_secret_links,
     "op8_config_packing": op8_config_packing,
