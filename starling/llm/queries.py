@@ -10,6 +10,7 @@ from .common import read, shared_dir
 from .config_packing import pack_documents
 from .debruijn import strip_repeats
 from .jaccard_join import similar_classes
+from .mcd_rules import judge
 from .reply_trees import conversation_nodes, digest, format_trees
 from .secret_links import scan_documents
 from .shard_tree import shard_documents
@@ -17,6 +18,10 @@ from .string_tiling import contaminated
 from .token_grammar import read_shards, write_shards
 
 
+def op1_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents")).drop("distance")
+
+
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -54,6 +59,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mcd_rules": op1_mcd_rules,
     "op2_reply_trees": op2_reply_trees,
     "op3_token_grammar": op3_token_grammar,
     "op4_jaccard_join": op4_jaccard_join,
