@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,3 +129,30 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = keys & ((1 << bits) - 1)
     inner = at >> slice_bits
     return (table[at & (len(table) - 1), inner >> 3] >> (7 - (inner & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def summed_counts(rows: DataFrame, size: int, add: Callable[[np.ndarray], Callable[[pd.DataFrame], None]], slices: int = 16) -> np.ndarray:
+    """The sum over all tasks of ``size`` counters. add(counters) gives what counts a frame; the result is bounded by size.
+
+    Each task sends its counters once, cut into slices, and every slice is summed as it streams by.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size, np.int64)
+        take = add(total)
+        for f in frames:
+            take(f)
+        yield pd.DataFrame({"slice": range(slices), "counts": [x.tobytes() for x in np.split(total, slices)]})
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for f in frames:
+            for s, x in zip(f["slice"], f["counts"], strict=True):
+                own[s] = own.get(s, 0) + np.frombuffer(x, np.int64)
+        for s, x in own.items():
+            yield pd.DataFrame({"slice": [s], "counts": [x.tobytes()]})
+
+    schema, total = "slice int, counts binary", np.zeros(size, np.int64)
+    for r in rows.mapInPandas(count, schema).repartition("slice").mapInPandas(merge, schema).toLocalIterator():
+        total[r["slice"] * size // slices :][: size // slices] += np.frombuffer(r["counts"], np.int64)
+    return total

@@ -15,18 +15,17 @@ as a pair inside one component adds nothing to it. Exact copies of a set are one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, bit_table, has_bit, mix, shingles, small_batches, stored
+from .common import WordIds, bit_table, has_bit, mix, shingles, small_batches, stored, summed_counts
 from .components import components
 
 SKETCH_BITS = 20
-_SLICES = 16
 
 
 class Sets:
@@ -46,26 +45,16 @@ def sketch(rows: DataFrame, words: int) -> np.ndarray:
     """How many documents have an n-gram, by the low bits of its hash: 4 MB, whatever the input."""
     size = 1 << SKETCH_BITS
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, total = Sets(words), np.zeros(size, np.int64)
-        for f in frames:
+    def add(total: np.ndarray) -> Callable[[pd.DataFrame], None]:
+        sets = Sets(words)
+
+        def take(f: pd.DataFrame) -> None:
             for text in f["text"]:
                 total[(sets.of(text) & np.uint64(size - 1)).astype(np.int64)] += 1
-        yield pd.DataFrame({"slice": range(_SLICES), "counts": [x.tobytes() for x in np.split(total.astype(np.int32), _SLICES)]})
 
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for f in frames:
-            for s, x in zip(f["slice"], f["counts"], strict=True):
-                own.setdefault(s, np.zeros(size // _SLICES, np.int64))
-                own[s] += np.frombuffer(x, np.int32)
-        for s, x in own.items():
-            yield pd.DataFrame({"slice": [s], "counts": [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes()]})
-
-    schema, total = "slice int, counts binary", np.zeros(size, np.int32)
-    for r in rows.select("text").mapInPandas(count, schema).repartition("slice").mapInPandas(add, schema).toLocalIterator():
-        total[r["slice"] * size // _SLICES :][: size // _SLICES] = np.frombuffer(r["counts"], np.int32)
-    return total
+        return take
+
+    return np.minimum(summed_counts(rows.select("text"), size, add), 2**31 - 1).astype(np.int32)
 
 
 def prefix(found: np.ndarray, counts: np.ndarray, load: float, num: int, den: int, most: int) -> tuple[int, np.ndarray]:

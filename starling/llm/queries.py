@@ -10,6 +10,7 @@ from .common import read, shared_dir
 from .config_packing import pack_documents
 from .debruijn import strip_repeats
 from .jaccard_join import similar_classes
+from .lsa_vote import fit, score
 from .mcd_rules import judge
 from .reply_trees import conversation_nodes, digest, format_trees
 from .secret_links import scan_documents
@@ -46,6 +47,11 @@ def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_lsa_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_config_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_hash_tree": op5_hash_tree,
     "op6_secret_links": op6_secret_links,
+    "op7_lsa_vote": op7_lsa_vote,
     "op8_config_packing": op8_config_packing,
     "op9_debruijn": op9_debruijn,
     "op10_string_tiling": op10_string_tiling,
