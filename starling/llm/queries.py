@@ -125,3 +125,12 @@ SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size,
 FROM docs JOIN put USING (key), crc
 """,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
