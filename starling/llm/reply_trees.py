@@ -51,16 +51,14 @@ def pointers(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     node count allows they are left out.
     """
     ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    at = nodes.join(ids, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).alias("steps"))
+    at = nodes.join(ids, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).alias("steps"), F.col("id").alias("root"))
     at, jumps = stored(at), []
     rounds = 1 + max(1, at.count()).bit_length()
     while at.where("up IS NOT NULL").take(1) and len(jumps) < rounds:
-        jumps.append(at.where("up IS NOT NULL").select("id", "up"))
-        above = at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"), F.col("steps").alias("far"), F.col("root").alias("top") if "root" in at.columns else F.col("id").alias("top"))
-        root = F.col("root") if "root" in at.columns else F.col("id")
-        at = stored(at.join(above, "up", "left").select("id", F.col("up2").alias("up"), (F.col("score") + F.coalesce(F.col("more"), F.lit(0.0))).alias("score"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps"), F.coalesce("top", root).alias("root")))
-    if "root" not in at.columns:
-        at = at.withColumn("root", F.col("id"))
+        open_, above = at.where("up IS NOT NULL"), at.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"), F.col("steps").alias("far"), F.col("root").alias("top"))
+        jumps.append(open_.select("id", "up"))
+        moved = open_.join(above, "up").select("id", F.col("up2").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("steps") + F.col("far")).alias("steps"), F.col("top").alias("root"))
+        at = stored(moved.unionByName(at.where("up IS NULL")))  # nodes that have reached their root rest
     return at.where("up IS NULL").drop("up"), jumps
 
 
