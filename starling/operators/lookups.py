@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def by_any_name(names: DataFrame, areas: DataFrame, key: str) -> DataFrame:
     """(name, area columns): areas one of whose five names equals the name, whatever the case; an area counts once."""
-    long = areas.select("*", F.explode(F.array("n1", "n2", "n3", "n4", "n5")).alias("any")).where("any IS NOT NULL").withColumn("any", F.lower("any"))
-    hits = names.join(long, F.lower(key) == F.col("any"))
-    return hits.dropDuplicates([key, "area_id"]).drop("any")
+    own = F.array_distinct(F.transform(F.array("n1", "n2", "n3", "n4", "n5"), lambda x: F.lower(x)))
+    long = areas.select("*", F.explode(own).alias("any")).where("any IS NOT NULL")
+    return names.join(long, F.lower(key) == F.col("any")).drop("any")
 
 
 def by_name(names: DataFrame, places: DataFrame, key: str, name: str = "name") -> DataFrame:

@@ -31,20 +31,24 @@ def focus(area: Column) -> Column:
 def covered(evidence: DataFrame, scale: float | str, bounds: bool = False) -> DataFrame:
     """Rows (key, indicator, weight, gx, gy): the cells of each polygon of evidence (key, indicator, ring, weight).
 
-    scale: cells to a degree, a number or a column. bounds: keep to columns bx0, by0, bx1, by1 of the rows.
+    scale: cells to a degree, a number or a column. bounds: keep to columns bx0, by0, bx1, by1 of the rows. Many rows
+    share a polygon (a country's, a zone's), so each ring is rasterised once for each scale, then joined.
     """
     s = F.col(scale) if isinstance(scale, str) else F.lit(float(scale))
-    e = evidence.withColumn("__s", s.cast("double"))
-    xs, ys = "transform(ring, p -> p.x)", "transform(ring, p -> p.y)"
-    e = e.withColumns({"x0": F.expr(f"array_min({xs})"), "x1": F.expr(f"array_max({xs})"), "y0": F.expr(f"array_min({ys})"), "y1": F.expr(f"array_max({ys})")})
+    evidence = evidence.withColumns({"__s": s.cast("double"), "__r": F.xxhash64("ring")})
+    column = lambda x: F.floor((x + 180) * F.col("__s")).cast("int")
+    row = lambda y: F.floor((F.lit(90) - y) * F.col("__s")).cast("int")
+    e = evidence.groupBy("__r", "__s").agg(F.first("ring").alias("ring"))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    e = e.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
+    e = e.withColumn("gx", F.explode(F.sequence(column(F.col("x0")), column(F.col("x1"))))).withColumn("gy", F.explode(F.sequence(row(F.col("y1")), row(F.col("y0")))))
+    lon, lat = cell_corner(F.col("gx") + 0.5, F.col("gy") + 0.5, F.col("__s"))
+    corner = lambda p: (column(p["x"]) == F.col("gx")) & (row(p["y"]) == F.col("gy"))
+    cells = e.where(geo.inside(lon, lat, F.col("ring")) | F.exists("ring", corner)).select("__r", "__s", "gx", "gy")
+    out = evidence.drop("ring").join(cells, ["__r", "__s"])
     if bounds:
-        e = e.withColumns({"x0": F.greatest("x0", "bx0"), "x1": F.least("x1", "bx1"), "y0": F.greatest("y0", "by0"), "y1": F.least("y1", "by1")}).where("x0 <= x1 AND y0 <= y1")
-    e = e.withColumns({"gx": F.explode(F.sequence(F.floor((F.col("x0") + 180) * F.col("__s")).cast("int"), F.floor((F.col("x1") + 180) * F.col("__s")).cast("int")))})
-    e = e.withColumns({"gy": F.explode(F.sequence(F.floor((F.lit(90) - F.col("y1")) * F.col("__s")).cast("int"), F.floor((F.lit(90) - F.col("y0")) * F.col("__s")).cast("int")))})
-    mid = lambda g: F.col(g) + 0.5
-    lon, lat = cell_corner(mid("gx"), mid("gy"), F.col("__s"))
-    own = lambda p: (F.floor((p["x"] + 180) * F.col("__s")) == F.col("gx")) & (F.floor((F.lit(90) - p["y"]) * F.col("__s")) == F.col("gy"))
-    return e.where(geo.inside(lon, lat, F.col("ring")) | F.exists("ring", own)).drop("__s", "x0", "x1", "y0", "y1", "ring")
+        out = out.where(F.col("gx").between(column(F.col("bx0")), column(F.col("bx1"))) & F.col("gy").between(row(F.col("by1")), row(F.col("by0"))))
+    return out.drop("__r", "__s")
 
 
 def stacked(cells: DataFrame, keep: list[str] | None = None) -> DataFrame:
