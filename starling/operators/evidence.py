@@ -32,7 +32,9 @@ def emitted(rows: DataFrame, name: str, ring: Column, weight: str | Column, beli
     return rows.select("key", F.lit(name).alias("indicator"), ring.alias("ring"), (w * belief if belief is not None else w).alias("weight")).where("ring IS NOT NULL")
 
 
-BOX = geo.square(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+def box() -> Column:
+    """The square of columns x0, y0, x1, y1."""
+    return geo.square(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
 
 
 @indicator
@@ -54,7 +56,7 @@ def coordinate(rows: DataFrame, transposed: bool = False) -> DataFrame:
 def website(rows: DataFrame, countries: DataFrame) -> DataFrame:
     """The countries of the top-level domains of url."""
     hits = rows.select("key", F.explode(tx.top_level_domains(F.col("url"))).alias("tld"))
-    return emitted(hits.join(countries, "tld"), "website", BOX, "WS_1")
+    return emitted(hits.join(countries, "tld"), "website", box(), "WS_1")
 
 
 @indicator
@@ -63,13 +65,13 @@ def time_zone(rows: DataFrame, zones: DataFrame) -> DataFrame:
     rows = rows.select("key", tx.us_code(F.col("time_zone")).alias("us"), tx.zone_name(F.col("time_zone")).alias("name"))
     a = lk.american(rows.where("us IS NOT NULL"), zones, "us")
     b = lk.by_part(rows.where("us IS NULL"), zones, "name")
-    return emitted(a, "time_zone", BOX, "TZ").unionByName(emitted(b, "time_zone", BOX, "TZ"))
+    return emitted(a, "time_zone", box(), "TZ").unionByName(emitted(b, "time_zone", box(), "TZ"))
 
 
 @indicator
 def zone_offset(rows: DataFrame, zones: DataFrame) -> DataFrame:
     """Zones of the field's offset from UTC."""
-    return emitted(lk.by_offset(rows, zones, "utc_offset"), "zone_offset", BOX, "TZ")
+    return emitted(lk.by_offset(rows, zones, "utc_offset"), "zone_offset", box(), "TZ")
 
 
 @indicator
@@ -83,7 +85,7 @@ def message(rows: DataFrame, annotations: DataFrame, entities: DataFrame, areas:
     at = F.split("georss_point", " ")
     lat, lon = F.coalesce(F.try_element_at(at, F.lit(1)).cast("double"), F.col("lat_d")), F.coalesce(F.try_element_at(at, F.lit(2)).cast("double"), F.col("lon_d"))
     points = left.withColumns({"lat": lat, "lon": lon}).where("lat IS NOT NULL AND lon IS NOT NULL")
-    return emitted(by_area, name, BOX, weight, F.col("similarity")).unionByName(emitted(points, name, geo.circle(F.col("lon"), F.col("lat")), weight, F.col("similarity")))
+    return emitted(by_area, name, box(), weight, F.col("similarity")).unionByName(emitted(points, name, geo.circle(F.col("lon"), F.col("lat")), weight, F.col("similarity")))
 
 
 def gazetted(asked: DataFrame, gazetteer: DataFrame, areas: DataFrame, countries: DataFrame, weight: str, name: str) -> DataFrame:
@@ -101,7 +103,7 @@ def gazetted(asked: DataFrame, gazetteer: DataFrame, areas: DataFrame, countries
     rest = hits.join(one.select("hit").distinct(), "hit", "left_anti")
     two = lk.by_any_name(rest.where(kind.contains("state") | kind.contains("region")).select("key", "name", "belief", "hit"), areas, "name")
     three = rest.join(two.select("hit").distinct(), "hit", "left_anti")
-    out = [emitted(one, name, BOX, weight, F.col("belief")), emitted(two, name, BOX, weight, F.col("belief")), emitted(three, name, geo.circle(F.col("lng"), F.col("lat")), weight, F.col("belief"))]
+    out = [emitted(one, name, box(), weight, F.col("belief")), emitted(two, name, box(), weight, F.col("belief")), emitted(three, name, geo.circle(F.col("lng"), F.col("lat")), weight, F.col("belief"))]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -141,7 +143,7 @@ def gis_field(rows: DataFrame, gazetteer: DataFrame, areas: DataFrame, limit: in
         named = hits.where(F.col("placetype").contains("Adm") | F.col("placetype").contains("City")).select("key", "name", "belief", "hit")
         area = lk.by_any_name(named, areas, "name")
         points = hits.join(area.select("hit").distinct(), "hit", "left_anti")
-        stage = stored(emitted(area, "gis_field", BOX, "GN", F.col("belief")).unionByName(emitted(points, "gis_field", geo.circle(F.col("lng"), F.col("lat")), "GN", F.col("belief"))))
+        stage = stored(emitted(area, "gis_field", box(), "GN", F.col("belief")).unionByName(emitted(points, "gis_field", geo.circle(F.col("lng"), F.col("lat")), "GN", F.col("belief"))))
         out = stage if out is None else out.unionByName(stage)
     return out
 

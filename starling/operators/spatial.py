@@ -77,7 +77,7 @@ def population_at(rows: DataFrame, raster: DataFrame, grid: dict) -> DataFrame:
 
 def ascii_grid(spark, path: str) -> DataFrame:
     """(row, col, value, and the six header fields) of an ESRI ASCII grid: six header lines, then a line per row."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), r"\\r?\\n").alias("lines"))
-    head = [F.element_at(F.split(F.trim(F.element_at("lines", k + 1)), r"\\s+"), 2).cast("double").alias(n) for k, n in enumerate(("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata"))]
-    rows = lines.select(*head, F.posexplode(F.slice("lines", F.lit(7), F.size("lines") - 6)).alias("row", "line"))
-    return rows.select("*", F.posexplode(F.split(F.trim("line"), r"\\s+")).alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("value"), "ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata")
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    head = [F.element_at(F.split(F.trim(F.element_at("lines", k + 1)), r"\s+"), 2).cast("double").alias(n) for k, n in enumerate(("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata"))]
+    rows = lines.select(*head, F.posexplode(F.slice("lines", F.lit(7), F.greatest(F.size("lines") - 6, F.lit(0)))).alias("row", "line"))
+    return rows.select("*", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("row", "col", F.col("v").cast("double").alias("value"), "ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata")
