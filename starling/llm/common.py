@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir, stored  # noqa: F401
+
 #: White space that separates words, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 
@@ -20,29 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset one of our own.
-
-    A machine-local folder is only used on a local master, where driver and executors are one process.
-    """
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if spark.sparkContext.master.startswith("local["):
-        own = "file://" + tempfile.mkdtemp(prefix="starling-")
-    else:
-        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/starling-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -94,8 +71,8 @@ def shingles(ids: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return h
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough that a thousand very long texts still fit a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Arrow batches small enough that this many very long texts fit a Python worker, some times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -131,7 +108,7 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[at & (len(table) - 1), inner >> 3] >> (7 - (inner & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def summed_counts(rows: DataFrame, size: int, add: Callable[[np.ndarray], Callable[[pd.DataFrame], None]], slices: int = 16) -> np.ndarray:
+def summed_counts(rows: DataFrame, size: int, add: Callable[[np.ndarray], Callable[[pd.DataFrame], None]], slices: int = 256) -> np.ndarray:
     """The sum over all tasks of ``size`` counters. add(counters) gives what counts a frame; the result is bounded by size.
 
     Each task sends its counters once, cut into slices, and every slice is summed as it streams by.
