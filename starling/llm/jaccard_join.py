@@ -23,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, bit_table, has_bit, mix, shingles, small_batches, stored, summed_counts
-from .components import components
+from ..operators.graph import components
 
 SKETCH_BITS = 20
+#: Bits of a token's hash that the bit table leaves out: the sketch looks at them.
+SHIFT = 24
 
 
 class Sets:
@@ -135,19 +137,32 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
     reps = all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     docs = all_.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
 
-    own = all_.where("n > 0").join(reps, ["n", "k1", "k2"]).where("doc_id = rep").select("rep", "n", "l", F.size("prefix").alias("p"), "prefix").dropDuplicates(["rep"])
-    postings = stored(own.select("rep", "n", "l", "p", F.explode("prefix").alias("token")))
+    # most tokens are some document's own; a bit table of the others keeps them out of all that follows
+    seen = all_.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select(F.shiftrightunsigned("token", SHIFT).alias("token"))
+    table = rows.sparkSession.sparkContext.broadcast(bit_table(seen, "token", 26))
+
+    def common(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            size = np.array([len(x) for x in f["prefix"]], np.int64)
+            tokens = np.concatenate([np.empty(0, np.int64), *f["prefix"]]).astype(np.int64)
+            own = has_bit(table.value, (tokens.view(np.uint64) >> np.uint64(SHIFT)).view(np.int64))
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            row = np.repeat(np.arange(len(f)), size)[own]
+            yield f.drop(columns="prefix").iloc[row].assign(p=size[row].astype(np.int32), at=at[own].astype(np.int32), token=tokens[own])
+
+    found = all_.where("n > 0").mapInPandas(common, "doc_id bigint, n bigint, k1 bigint, k2 bigint, l int, p int, at int, token bigint")
+    postings = stored(found.join(reps, ["n", "k1", "k2"]).where("doc_id = rep").select("rep", "n", "l", "p", "at", "token").dropDuplicates(["rep", "token"]))
     shared = postings.groupBy("token").count().where("count > 1").select("token")
-    postings = stored(postings.join(shared, "token"))
-    s = postings.groupBy("rep").agg(F.count("*").alias("s"))
-    postings = stored(postings.join(s, "rep"))
-
-    may = (
-        (F.col("a.rep") != F.col("b.rep"))
-        & (den * F.col("a.n") >= num * F.col("b.n")) & (den * F.col("b.n") >= num * F.col("a.n"))
-        & (F.least("a.s", "b.s") >= needed("a.n", "b.n", num, den) - F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))
-    )
-    leader = postings.groupBy("token").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("lone"), "rep", "n", "p", "s")).alias("b"))
+    # tokens of a rep that others have too, in order; at most a prefix each. "at" counts in the prefix, "nth" among these
+    own = postings.join(shared, "token").groupBy("rep", "n", "l", "p").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
+    own = stored(own.withColumn("s", F.size("tokens")))
+    postings = stored(own.select("rep", "n", "l", "p", "s", F.posexplode("tokens").alias("nth", "t")).select("rep", "n", "l", "p", "s", "nth", "t.at", "t.token"))
+
+    need = needed("a.n", "b.n", num, den)
+    least = F.greatest(F.least("a.l", "b.l").cast("double"), need - F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))
+    sizes = (F.col("a.rep") != F.col("b.rep")) & (den * F.col("a.n") >= num * F.col("b.n")) & (den * F.col("b.n") >= num * F.col("a.n"))
+    may = sizes & (F.least("a.s", "b.s") >= least)
+    leader = postings.groupBy("token").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("lone"), "rep", "n", "l", "p", "s")).alias("b"))
     star = postings.alias("a").join(leader.select("token", "b.*").alias("b"), (F.col("a.token") == F.col("b.token")) & may)
     star = stored(star.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
     near = stored(verified(star, rows, words, num, den))
@@ -160,12 +175,14 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
     split = stored(postings.join(top, "token"))
     small = split.where("component <> top")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep")))
-    met = small.alias("a").join(split.alias("b"), (F.col("a.token") == F.col("b.token")) & apart & may)
-    met = met.groupBy(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).agg(
-        F.count("*").alias("c"),
-        F.max(F.greatest(F.least("a.l", "b.l").cast("double"), needed("a.n", "b.n", num, den) - F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))).alias("least"),
-    )
-    rest = stored(met.where("c >= least").select("a", "b").join(star, ["a", "b"], "left_anti"))
+    # the first token that a pair shares leaves room for all that it needs, in the prefixes and in the sets
+    room = (F.least(F.col("a.s") - F.col("a.nth"), F.col("b.s") - F.col("b.nth")) >= least) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need)
+    met = small.alias("a").join(split.alias("b"), (F.col("a.token") == F.col("b.token")) & apart & sizes & room)
+    met = met.select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y")).distinct()
+    one, two = own.alias("a"), own.alias("b")
+    met = met.join(one, F.col("x") == F.col("a.rep")).join(two, F.col("y") == F.col("b.rep"))
+    met = met.where(F.size(F.array_intersect("a.tokens.token", "b.tokens.token")) >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rest = stored(met.join(star, ["a", "b"], "left_anti"))
     return docs, near.unionByName(verified(rest, rows, words, num, den))
 
 
