@@ -171,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_id
 
     Only longer documents are cut; their first piece is the shorter one. Null text is empty: the end id alone.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 600)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)

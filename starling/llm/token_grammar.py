@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
 
     Null doc_ids come first, equal ones by text; null text is empty; an empty table writes an empty one.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 600)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, part, before, ids, held, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
