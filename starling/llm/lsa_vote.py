@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, summed_counts
 
 #: Shares of words that repeat the word before; each that a text passes is a term with a count of its own.
-REPEATS, REPEAT_COUNT = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7), 100
+REPEATS, REPEAT_COUNT = (0.08, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75), 100
 #: Hashed terms: words below, shapes above, then the repeats.
 WORDS, SHAPES = 3072, 1016
 TERMS = WORDS + SHAPES + len(REPEATS)
@@ -66,7 +66,7 @@ class Terms(dict):
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         a, b = np.divmod(codes, TERMS)
         counts = np.bincount(a, minlength=TERMS) + np.bincount(b, minlength=TERMS)
-        again = (codes[1:] == codes[:-1]).sum() / max(1, len(codes))
+        again = (codes[1:] == codes[:-1]).sum() / (len(codes) + 10)  # a short text's single repeat means little
         counts[WORDS + SHAPES :] = REPEAT_COUNT * (again > np.array(REPEATS))
         found = np.flatnonzero(counts)
         return found, counts[found]
