@@ -206,9 +206,9 @@ def density_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- label propagation -----------------------------------------------------------------------
 
 LEAST = 3
-#: Only pairs that differ little are friends, so that the network isn't complete.
+#: Friends are who mention each other and have close numbers: mentions alone make the network complete.
 EDGES_SQL = f"{MENTIONS_SQL}, edges AS (SELECT a.src, a.dst FROM mentions a JOIN mentions b ON a.src = b.dst AND a.dst = b.src WHERE a.cnt >= {LEAST} AND b.cnt >= {LEAST} AND abs(a.src - a.dst) <= 2)"
-TAGS_SQL = "tags AS (SELECT user_id % 60 AS \"user\", lat, lon FROM messages WHERE has_geo AND user_id % 60 % 4 = 0 AND event_id % 50 < 3)"
+TAGS_SQL = "tags AS (SELECT user_id % 60 AS \"user\", round(lat, 2) AS lat, round(lon, 2) AS lon FROM messages WHERE has_geo AND user_id % 60 % 4 = 0)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +216,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages(spark, sf_dir).where("geo IS NOT NULL AND user_id % 60 % 4 = 0 AND event_id % 50 < 3").select((F.col("user_id") % 60).alias("user"), "lat", "lon")
+    """Geotags to two places. Every fourth user shares a location; the others are who propagation is for."""
+    rows = messages(spark, sf_dir).where("geo IS NOT NULL AND user_id % 60 % 4 = 0")
+    return rows.select((F.col("user_id") % 60).alias("user"), F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
 
 
 def _medoid_sql(points: str, out: str) -> str:

@@ -52,7 +52,7 @@ MENTIONS_SQL = """mentions AS (
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customers as user profiles: location text in several styles, url, time zone name, offset in seconds."""
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k, n = F.col("c_custkey"), F.col("n_nationkey")
     point = F.concat(F.lit("UT: 5"), (k % 10).cast("string"), F.lit("."), F.lpad((k * 7919 % 1000000).cast("string"), 6, "0"), F.lit(",-"), (k % 5).cast("string"), F.lit("."), F.lpad((k * 104729 % 1000000).cast("string"), 6, "0"))
     zones = F.array(*map(F.lit, ZONES))
