@@ -180,7 +180,20 @@ def answer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tops.groupBy("key").agg(F.count("*").alias("cells"), F.sum("gx").alias("sx"), F.sum("gy").alias("sy"))
 
 
-@query()
+FINE_SQL = f"""{CELLS_SQL}, box AS (
+  SELECT key, greatest(-180.0::DOUBLE, min(gx) * 2 - 180 - 2) AS bx0, greatest(-90.0::DOUBLE, 90 - (max(gy) + 1) * 2 - 2) AS by0, least(180.0::DOUBLE, (max(gx) + 1) * 2 - 180 + 2) AS bx1, least(90.0::DOUBLE, 90 - min(gy) * 2 + 2) AS by1 FROM tops GROUP BY key),
+scaled AS (SELECT *, CAST(floor(pow(ceil(64800.0::DOUBLE / ((bx1 - bx0) * (by1 - by0))), 0.4::DOUBLE)) AS INTEGER) AS scale FROM box),
+fine AS (SELECT u.*, bx0, by0, bx1, by1, scale, CAST(floor((x0 + 180) * scale) AS INTEGER) AS ga, CAST(floor((x1 + 180) * scale) AS INTEGER) AS gb, CAST(floor((90 - y1) * scale) AS INTEGER) AS gc, CAST(floor((90 - y0) * scale) AS INTEGER) AS gd FROM united u JOIN scaled USING (key)),
+shapes AS (SELECT DISTINCT scale, x0, y0, x1, y1, ga, gb, gc, gd FROM fine),
+raster AS (SELECT scale, x0, y0, x1, y1, gx, gy FROM shapes JOIN range(20000) a(gx) ON gx BETWEEN ga AND gb JOIN range(10000) b(gy) ON gy BETWEEN gc AND gd
+  WHERE ((gx + 0.5) / scale - 180 >= x0 AND (gx + 0.5) / scale - 180 < x1 AND 90 - (gy + 0.5) / scale >= y0 AND 90 - (gy + 0.5) / scale < y1) OR (gx IN (ga, gb) AND gy IN (gc, gd))),
+kept AS (SELECT key, scale, indicator, gx, gy, max(weight) AS weight FROM fine JOIN raster USING (scale, x0, y0, x1, y1)
+  WHERE gx BETWEEN floor((bx0 + 180) * scale) AND floor((bx1 + 180) * scale) AND gy BETWEEN floor((90 - by1) * scale) AND floor((90 - by0) * scale) GROUP BY ALL),
+sums AS (SELECT key, scale, gx, gy, sum(weight) AS weight FROM kept GROUP BY ALL),
+answer AS (SELECT * FROM (SELECT *, max(weight) OVER (PARTITION BY key) AS best FROM sums) WHERE weight >= best * 0.75 - 1e-9)"""
+
+
+@query(f"WITH {FINE_SQL} SELECT key, scale, count(*) AS cells, CAST(min(gx) AS INTEGER) AS gx, CAST(min(gy) AS INTEGER) AS gy, round(max(best) * 0.75, 6) AS weight FROM answer GROUP BY ALL")
 def mi_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     tops = ra.infer(united(spark, sf_dir))
     return tops.groupBy("key", "scale").agg(F.count("*").alias("cells"), F.min("gx").alias("gx"), F.min("gy").alias("gy"), F.round(F.max("best") * 0.75, 6).alias("weight"))

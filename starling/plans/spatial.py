@@ -61,7 +61,27 @@ def geo_vincenty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("event_id", F.round(geo.vincenty(F.col("lat"), F.col("lon"), F.lit(51.5), F.lit(-0.12)), 4).alias("km"))
 
 
-@query()
+def _shoot_sql(steps: int = geo.STEPS) -> str:
+    f, a = f"{geo.FLATTENING!r}::DOUBLE", geo.SHOOT_MAJOR
+    b = a * (1 - geo.FLATTENING)
+    parts = [
+        f"p0 AS (SELECT event_id, radians(lon) AS lon0, sin(atan(tan(radians(lat)) * (1 - {f}))) AS su, cos(atan(tan(radians(lat)) * (1 - {f}))) AS cu, tan(atan(tan(radians(lat)) * (1 - {f}))) AS tu, sin(radians((event_id % 360)::DOUBLE)) AS sb, cos(radians((event_id % 360)::DOUBLE)) AS cb FROM messages)",
+        f"p1 AS (SELECT *, cu * sb AS sa, 1 - cu * sb * (cu * sb) AS c2, atan2(tu, cb) AS first FROM p0)",
+        f"p2 AS (SELECT *, c2 * {(a**2 - b**2) / b**2!r}::DOUBLE AS uu FROM p1)",
+        f"p3 AS (SELECT *, 10.0::DOUBLE / ({b!r}::DOUBLE * (1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))))) AS base, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS small FROM p2)",
+        "s0 AS (SELECT *, base AS arc FROM p3)",
+    ]
+    for k in range(1, steps + 1):
+        parts.append(f"s{k} AS (SELECT * REPLACE (base + small * sin(arc) * (cos(2 * first + arc) + small / 4 * (cos(arc) * (2 * pow(cos(2 * first + arc), 2) - 1) - small / 6 * cos(2 * first + arc) * (4 * pow(sin(arc), 2) - 3) * (4 * pow(cos(2 * first + arc), 2) - 3))) AS arc) FROM s{k - 1})")
+    parts += [
+        f"t0 AS (SELECT *, sin(arc) AS sn, cos(arc) AS cs, cos(2 * first + arc) AS mid, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS c FROM s{steps})",
+        f"t1 AS (SELECT *, su * cs + cu * sn * cb AS up, su * sn - cu * cs * cb AS aside, atan2(sn * sb, cu * cs - su * sn * cb) - (1 - c) * {f} * sa * (arc + c * sn * (mid + c * cs * (2 * mid * mid - 1))) AS gone FROM t0)",
+        f"t2 AS (SELECT event_id, degrees(lon0 + gone) AS east, degrees(atan2(up, (1 - {f}) * sqrt(sa * sa + aside * aside))) AS lat, degrees(atan2(sa, -aside)) + 180 AS back FROM t1)",
+    ]
+    return ", ".join(parts)
+
+
+@query(f"WITH {MESSAGES_SQL}, {_shoot_sql()} SELECT event_id, round(east - floor((east + 180) / 360) * 360, 6) AS lon, round(lat, 6) AS lat, round(back - floor(back / 360) * 360, 4) AS back FROM t2")
 def geo_shoot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).select("event_id", geo.shoot(F.col("lon"), F.col("lat"), (F.col("event_id") % 360).cast("double"), F.lit(10.0)).alias("p"))
     return rows.select("event_id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), F.round("p.back", 4).alias("back"))
