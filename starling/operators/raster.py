@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..sources.storage import stored
 
 
 def to_grid(lon: Column, lat: Column, scale: float | Column) -> tuple[Column, Column]:
@@ -75,11 +76,21 @@ def bounds_of(cells: DataFrame, scale: float, pad: float = 2.0) -> DataFrame:
 
 
 def infer(evidence: DataFrame, coarse: float = 0.5, share: float = 0.75) -> DataFrame:
-    """(key, scale, gx, gy, weight, best): the finest answer cells of each key; keys without evidence have none."""
-    first = top_cells(stacked(covered(evidence, coarse)), share)
-    box = bounds_of(first, coarse).withColumn("scale", focus(F.col("area")))
-    fine = covered(evidence.join(box, "key"), "scale", bounds=True)
-    return top_cells(stacked(fine, ["scale"]), share)
+    """(key, scale, gx, gy, weight, best): the finest answer cells of each key; keys without evidence have none.
+
+    Keys with the same evidence (people of one zone, country and so on) have the same answer, so only the first of
+    them is worked out, and the others are given its cells. Sameness is of a 64-bit and a 128-bit hash of the sorted evidence.
+    """
+    facts = F.sort_array(F.collect_list(F.struct("indicator", F.xxhash64("ring").alias("a"), F.hash("ring").alias("b"), "weight")))
+    same = evidence.groupBy("key").agg(facts.alias("facts")).select("key", F.xxhash64("facts").alias("s"), F.md5(F.to_json("facts")).alias("t"))
+    first = same.groupBy("s", "t").agg(F.min("key").alias("first"))
+    same = stored(same.join(first, ["s", "t"]).select("key", "first"))
+    own = evidence.join(same.where("key = first").select("key"), "key", "left_semi")
+    tops = top_cells(stacked(covered(own, coarse)), share)
+    box = bounds_of(tops, coarse).withColumn("scale", focus(F.col("area")))
+    fine = covered(own.join(box, "key"), "scale", bounds=True)
+    answer = top_cells(stacked(fine, ["scale"]), share).withColumnRenamed("key", "first")
+    return same.join(answer, "first").drop("first")
 
 
 def squares(cells: DataFrame) -> DataFrame:
