@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import zlib
 from collections import Counter
 
@@ -9,8 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.llm import queries
+from starling.llm.mcd_rules import judge
 from starling.llm.reply_trees import conversation_nodes, digest, escape, format_trees, read_back, unescape
+from starling.llm.secret_links import base_spans
 from starling.llm.shard_tree import Tree, descend, shard_documents
+from starling.llm.string_tiling import EDGES
+from tests.llm.test_text_operators import classes
 from tests.twins import check, connection
 
 SF = "/root/testdata/sf0.001"
@@ -85,20 +90,50 @@ def test_tree_weights_and_movement(spark):
     assert all(y != 3 for _, y in moved) and not {(0, 1), (1, 0), (2, 0), (2, 1)} & set(moved)
 
 
+def normal(text):
+    return [w.lower().strip("".join(map(chr, EDGES))) or w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
+def grams(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
 @tables
-def test_pipeline_stages(spark):
+def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
     from starling.llm.common import read, stored
 
-    docs = read(spark, SF, "documents")
-    columns, n = docs.columns, docs.count()
+    docs, items = read(spark, SF, "documents"), [normal(r.text) for r in read(spark, SF, "benchmark").collect()]
+    columns, rows = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, SF))
         assert docs.columns == columns
-        assert 0 < docs.count() <= n, name
-        n = docs.count()
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+        assert 0 < len(kept[name]) == docs.count()
+    good, unique, clean, masked = (kept[n] for n, _ in corpus_pipeline.STAGES[:-1])
+
+    judged = {r.doc_id: r.kept for r in judge(read(spark, SF, "documents")).collect()}
+    assert good == {d: t for d, t in rows.items() if judged[d]}
+    part = classes(list(good.items()), 5, 80)
+    assert set(unique) == {d for d in good if part[d][1] == d}
+
+    seeds = [grams(w) for w in items]
+    for d, t in unique.items():
+        words = normal(t)
+        own = grams(words)
+        shares = [len(own & s) / len(s) if s else 0 for s in seeds]
+        if max(shares) == 1:
+            assert d not in clean
+        if max(shares) == 0:
+            assert d in clean
+    assert set(masked) == set(clean)
+    for d, t in masked.items():
+        assert not base_spans(t)
+        assert t == clean[d] if not base_spans(clean[d]) else "<" in t
+
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(masked)
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
 
 
