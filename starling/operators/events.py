@@ -12,17 +12,18 @@ expiry, the one thing that depends on all messages, only needs the time of the m
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.geo import RADIUS
 from ..sources.storage import stored
 from .graph import components
-from .spatial import around, cells
+from .spatial import around, cells, population_at
 
 
 def km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -117,6 +118,22 @@ def rows_of(fold: Fold) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["status", "cluster_id", "messages", "centres", "start", "finish"])
 
 
+def with_required(rows: DataFrame, popfunc: Callable[[Column, Column], Column] | None = None, raster: DataFrame | None = None, grid: dict | None = None, least: int = 10, middle: int = 30) -> DataFrame:
+    """rows (lat, lon) with ``required``, how many messages make an event there.
+
+    Either popfunc(lon, lat), a Column, or a population raster (row, col, value) and its grid: then least is required
+    where the fewest people live, middle at the median, and a logarithmic curve between. Rows outside have none.
+    """
+    if (popfunc is None) == (raster is None):
+        raise TypeError("give either popfunc or raster")
+    if popfunc is not None:
+        return rows.withColumn("required", popfunc(F.col("lon"), F.col("lat")).cast("int"))
+    low, mid = raster.where("value <> -9999").agg(F.min("value"), F.median("value")).first()
+    found = population_at(rows, raster, grid)
+    need = F.when(F.col("value").isNotNull(), geo.required(F.col("value"), *geo.curve(low, mid, least, middle), least))
+    return found.withColumn("required", need).drop("row", "col", "value")
+
+
 def with_previous(rows: DataFrame, block: str = "hour") -> DataFrame:
     """rows (ts, id) with ``prev_ts``, the time of the message before among all; windows hold a block at most."""
     rows = rows.withColumn("__b", F.date_trunc(block, "ts"))

@@ -167,3 +167,29 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len(list((tmp_path / "lines").glob("*.json"))) >= 4
     sinks.counts_csv(rows, str(tmp_path / "counts"))
     assert readers.listed(spark, str(tmp_path / "counts"), "k").count() == 2
+
+
+def test_required_counts(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(1, 50.0, 0.0), (2, 50.4, 0.5), (3, 80.0, 0.0)], "id int, lat double, lon double")
+    assert [r.required for r in ed.with_required(rows, popfunc=lambda lon, lat: F.when(lon > 0, 7).otherwise(3)).orderBy("id").collect()] == [3, 7, 3]
+    raster = spark.createDataFrame([(0, 0, 200.0), (0, 1, 900.0), (1, 0, 1.0), (1, 1, -9999.0)], "row int, col int, value double")
+    grid = {"rows": 1, "cols": 2, "xll": 0.0, "yll": 50.0, "cell": 0.5}
+    got = {r.id: r.required for r in ed.with_required(rows, raster=raster, grid=grid, least=2, middle=5).collect()}
+    assert got == {1: 2, 2: 6, 3: None}
+    with pytest.raises(TypeError):
+        ed.with_required(rows)
+
+
+def test_settings(tmp_path):
+    import pytest
+
+    from starling.sources.config import load
+
+    (tmp_path / "a.ini").write_text("[multiindicator]\nTAG = 5\n[slp]\nmax_depth = 2\n[events]\ncluster_radius = 7.5\n")
+    s = load(str(tmp_path / "a.ini"))
+    assert (s.weights["TAG"], s.weights["TZ"], s.propagation.max_depth, s.detection.cluster_radius, s.detection.mincount) == (5.0, 0.56, 2, 7.5, 10)
+    (tmp_path / "b.ini").write_text("[slp]\nnope = 2\n")
+    with pytest.raises(ValueError):
+        load(str(tmp_path / "b.ini"))
