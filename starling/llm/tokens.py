@@ -75,7 +75,7 @@ class Encoder:
     remembered, up to a bound. Texts where white space meets white space, or an end, are encoded whole.
     """
 
-    def __init__(self, path: str | None = None, most: int = 600_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 800_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -123,22 +123,27 @@ class Encoder:
         parts = pc.split_pattern(column, " ")
         coded = parts.flatten().dictionary_encode()
         codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        found = [self.safe(self.rest, x) for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        heads = coded.dictionary.take(pa.array(codes[offsets[:-1]])).to_numpy(zero_copy_only=False).tolist()
-        codes[offsets[:-1]] = len(found) + np.arange(len(column))  # no space stands before a text's first piece
-        found += [b"" if not x and n == 1 else self.safe(self.heads, x) for x, n in zip(heads, np.diff(offsets).tolist(), strict=True)]
-        unsafe = np.array([x is None for x in found])
-        table = np.frombuffer(b"".join([x or b"" for x in found]), "<u4")
-        length = np.array([len(x or b"") // 4 for x in found], np.int64)
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        first = codes[offsets[:-1]]
+        codes[offsets[:-1]] = len(pieces) + np.arange(len(column))  # no space stands before a text's first piece
+        heads = [pieces[k] for k in first.tolist()]
+        try:
+            found, whole = [*map(self.rest.__getitem__, pieces), *map(self.heads.__getitem__, heads)], None
+        except Unsafe:
+            found = [self.safe(self.rest, x) for x in pieces]
+            found += [b"" if not x and n == 1 else self.safe(self.heads, x) for x, n in zip(heads, np.diff(offsets).tolist(), strict=True)]
+            whole = np.logical_or.reduceat(np.array([x is None for x in found])[codes], offsets[:-1])
+            found = [x or b"" for x in found]
+        table = np.frombuffer(b"".join(found), "<u4")
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(length) - length
         n = length[codes]
         ends = np.cumsum(n)
         ids = table[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1])]
         cuts = ends[offsets[1:] - 1]
-        whole = np.logical_or.reduceat(unsafe[codes], offsets[:-1])
         tail = np.array([END_ID] if end else [], "<u4")
         out = []
         for k, (a, b) in enumerate(zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)):
-            own = np.frombuffer(self.raw(column[k].as_py()), "<u4") if whole[k] else ids[a:b]
+            own = np.frombuffer(self.raw(column[k].as_py()), "<u4") if whole is not None and whole[k] else ids[a:b]
             out.append(np.concatenate([own, tail]))
         return out
