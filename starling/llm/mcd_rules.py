@@ -146,18 +146,24 @@ def starts(learn: DataFrame) -> DataFrame:
     return plain.unionByName(robust)
 
 
+def small(groups: DataFrame) -> DataFrame:
+    """A row or two for each group, stored as one file: Spark sees its true size and broadcasts it below its own bound,
+    so that no hot group of documents is shuffled to meet its single row."""
+    return stored(groups.repartition(1))
+
+
 def estimates(learn: DataFrame, share: float, steps: int) -> DataFrame:
     """One row per group: its estimate and ``scale``, by which its squared distances are divided."""
-    state = stored(starts(learn))
+    state = small(starts(learn))
     for _ in range(steps):
-        near = stored(near_bins(learn, state, share))
+        near = small(near_bins(learn, state, share))
         subset = learn.join(near, "g").where(bin_of(squared_distance()) <= F.col("near"))
-        state = stored(factored(subset.groupBy("g", "start").agg(*moments())))
+        state = small(factored(subset.groupBy("g", "start").agg(*moments())))
     near = near_bins(learn, state, share)
     best = Window.partitionBy("g").orderBy("log_det", "start")
     near = near.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     # the nearest rows alone look too much alike: bring their farthest to where a normal law has it
-    return stored(near.withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("near") + 1) / _BIN) / CHI_75)).drop("rank", "near", "log_det", "start"))
+    return small(near.withColumn("scale", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("near") + 1) / _BIN) / CHI_75)).drop("rank", "near", "log_det", "start"))
 
 
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 4, least: int = 100, cut: float = CHI_9999) -> DataFrame:
