@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read, shared_dir
 from .config_packing import pack_documents
@@ -24,7 +25,8 @@ def op1_mcd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digest(format_trees(conversation_nodes(rows.unionByName(own))))
 

@@ -51,7 +51,10 @@ def pointers(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     node count allows they are left out.
     """
     ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    at = nodes.join(ids, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).alias("steps"), F.col("id").alias("root"))
+    start = lambda rows, up: rows.select("id", up.alias("up"), "score", F.lit(1).alias("steps"), F.col("id").alias("root"))
+    replies = start(nodes.where("parent IS NOT NULL").join(ids, "parent", "left"), F.when(F.col("known"), F.col("parent")))
+    roots = nodes.where("parent IS NULL")  # not joined: they would meet in one task
+    at = replies.unionByName(start(roots, F.lit(None).cast(nodes.schema["parent"].dataType)))
     at, jumps = stored(at), []
     rounds = 1 + max(1, at.count()).bit_length()
     while at.where("up IS NOT NULL").take(1) and len(jumps) < rounds:
