@@ -118,7 +118,7 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
 
     firsts = paths_.join(by_content.join(branching, "minimizer", "left_semi"), ["minimizer", "content"]).where("source = doc_id").select("minimizer", "doc_id", "key", "first", "windows")
     single = stored(firsts.mapInPandas(windows, "minimizer bigint, hash bigint, doc_id bigint, key bigint, at int"))
-    first = single.groupBy("minimizer", "hash").agg(F.min("doc_id").alias("source"))
+    first = stored(single.groupBy("minimizer", "hash").agg(F.min("doc_id").alias("source")))  # a plain shuffle, so that a hot key can be split
     parts = single.join(first, ["minimizer", "hash"]).where("source < doc_id").select("doc_id", "key", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.unionByName(parts)
 
