@@ -134,7 +134,8 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
             yield result
 
     all_ = stored(rows.select("doc_id", "text").mapInPandas(features, "doc_id bigint, n bigint, k1 bigint, k2 bigint, l int, prefix array<bigint>"))
-    reps = all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # stored, like other aggregates that are joined back: a join of two plain shuffles can be split where one key is hot
+    reps = stored(all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     docs = all_.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
 
     # most tokens are some document's own; a bit table of the others keeps them out of all that follows
@@ -152,7 +153,7 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
 
     found = all_.where("n > 0").mapInPandas(common, "doc_id bigint, n bigint, k1 bigint, k2 bigint, l int, p int, at int, token bigint")
     postings = stored(found.join(reps, ["n", "k1", "k2"]).where("doc_id = rep").select("rep", "n", "l", "p", "at", "token").dropDuplicates(["rep", "token"]))
-    shared = postings.groupBy("token").count().where("count > 1").select("token")
+    shared = stored(postings.groupBy("token").count().where("count > 1").select("token"))
     # tokens of a rep that others have too, in order; at most a prefix each. "at" counts in the prefix, "nth" among these
     own = postings.join(shared, "token").groupBy("rep", "n", "l", "p").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
     own = stored(own.withColumn("s", F.size("tokens")))
@@ -162,8 +163,8 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
     least = F.greatest(F.least("a.l", "b.l").cast("double"), need - F.greatest(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")))
     sizes = (F.col("a.rep") != F.col("b.rep")) & (den * F.col("a.n") >= num * F.col("b.n")) & (den * F.col("b.n") >= num * F.col("a.n"))
     may = sizes & (F.least("a.s", "b.s") >= least)
-    leader = postings.groupBy("token").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("lone"), "rep", "n", "l", "p", "s")).alias("b"))
-    star = postings.alias("a").join(leader.select("token", "b.*").alias("b"), (F.col("a.token") == F.col("b.token")) & may)
+    leader = postings.groupBy("token").agg(F.min(F.struct((F.col("p") - F.col("s")).alias("lone"), "rep", "n", "l", "p", "s")).alias("b")).select("token", "b.*")
+    star = postings.alias("a").join(stored(leader).alias("b"), (F.col("a.token") == F.col("b.token")) & may)
     star = stored(star.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct())
     near = stored(verified(star, rows, words, num, den))
 
@@ -172,7 +173,7 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
     postings = stored(postings)
     per = postings.groupBy("token", "component").agg(F.count("*").alias("m"))
     top = per.groupBy("token").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", F.col("top.component").alias("top"))
-    split = stored(postings.join(top, "token"))
+    split = stored(postings.join(stored(top), "token"))
     small = split.where("component <> top")
     apart = (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.top")) | (F.col("a.rep") < F.col("b.rep")))
     # the first token that a pair shares leaves room for all that it needs, in the prefixes and in the sets
