@@ -2,10 +2,11 @@
 
 Documents are dealt into ranges of ascending doc_id; each task encodes its range and cuts it into shards of about
 ``shard_tokens`` tokens (a document is never split). In a shard, frequent pairs of neighbouring symbols are replaced
-by nonterminals, round after round. A round takes many pairs at once, the most frequent first, such that no symbol
-is the left part of one and the right part of another: then no two replaced pairs overlap, and the round equals
-replacing them one by one. A run of one symbol is replaced two by two from its start. No pair crosses the end of a
-document, so every document is a run of whole symbols.
+by nonterminals, round after round, until none occurs twice or the table of rules is full (65,536 less the vocabulary
+where symbols have two bytes). A round takes many pairs at once, the most frequent first, such that no symbol is the
+left part of one and the right part of another: then no two replaced pairs overlap, and the round equals replacing
+them one by one. A run of one symbol is replaced two by two from its start. No pair crosses the end of a document, so
+every document is a run of whole symbols.
 
 A shard is one binary image (row of a Parquet table, so that Spark's committer makes the write atomic and a lost
 executor's task is simply run again). Little-endian: ``RPG1``, crc32 of all that follows, then the counts of tokens,
@@ -49,51 +50,66 @@ def _chosen(left: list[int], right: list[int], most: int) -> list[int]:
     return out
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int, rounds: int = 4, least: int = 24, per_round: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _codes(a: np.ndarray, b: np.ndarray, out: np.ndarray, turn: int, exact: bool, bits: int = 18) -> tuple[np.ndarray, int]:
+    """A code below n for each pair, and n; pairs marked in ``out`` have n. Unless exact, pairs may share a code, others in each turn."""
+    if not exact:
+        odd = np.uint32((0x9E3779B1 * (2 * turn + 1)) & 0xFFFFFFFF)
+        h = ((a * odd) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+        h[out] = 1 << bits
+        return h, 1 << bits
+    keys, of = np.unique(a[~out].astype(np.uint64) << np.uint64(32) | b[~out], return_inverse=True)
+    h = np.full(len(a), len(keys), np.int64)
+    h[~out] = of
+    return h, len(keys)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int, least: int = 2, per_round: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2) and end marks. ends marks the last id of each document; nonterminals count from first.
 
-    At most ``most`` rules; a pair counts if it occurs ``least`` times. ``per_round`` bounds the pairs of one round.
+    Rounds follow each other until no pair occurs ``least`` times or there are ``most`` rules. ``per_round`` bounds the
+    pairs of one round only, which are at least half as frequent as its first. Pairs are counted by hash as long as that
+    finds any to replace, then exactly.
     """
     s, e, rules = ids.astype(np.uint32), ends.copy(), []
-    bits, n_rules = 18, 0
-    for _ in range(rounds):
-        if len(s) < 2 or n_rules >= most:
-            break
+    n_rules, exact = 0, False
+    while len(s) > 1 and n_rules < most:
         a, b = s[:-1], s[1:]
-        h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
-        h[e[:-1]] = 0
-        counts = np.bincount(h, minlength=1 << bits)
-        counts[0] = 0  # pairs that hash there are left alone, like those across an end
-        bar = max(least, int(np.partition(counts, -2 * per_round)[-2 * per_round]))
-        at = np.flatnonzero((counts >= bar)[h])
-        if not len(at):
-            break
-        ha, aa, ba = h[at], a[at], b[at]
-        sample = np.zeros(1 << bits, np.int64)
-        sample[ha] = np.arange(len(at))  # one pair stands for its hash value; others of that value wait for a later round
-        same = (aa == aa[sample[ha]]) & (ba == ba[sample[ha]])
-        at, ha = at[same], ha[same]
-        counts = np.bincount(ha, minlength=1 << bits)
-        order = np.flatnonzero(counts >= bar)
+        out = e[:-1].copy()
+        twins = np.flatnonzero((a == b) & ~out)  # runs: every other position from the run's start
+        begins = np.flatnonzero(np.diff(twins, prepend=-2) != 1)
+        out[twins[(np.arange(len(twins)) - np.repeat(begins, np.diff(begins, append=len(twins)))) % 2 == 1]] = True
+        h, n = _codes(a, b, out, len(rules), exact)
+        totals = np.bincount(h, minlength=n + 1)
+        totals[n] = 0
+        bar = max(least, int(totals.max()) // 2)  # the most frequent first, or rare pairs fill the table before new ones are seen
+        if n >= 2 * per_round:
+            bar = max(bar, int(np.partition(totals, -2 * per_round)[-2 * per_round]))
+        while True:
+            at = np.flatnonzero((totals >= bar)[h])
+            ha, aa, ba = h[at], a[at], b[at]
+            sample = np.zeros(n + 1, np.int64)
+            sample[ha] = np.arange(len(at))  # one pair stands for its code; others of that code wait for a later round
+            same = (aa == aa[sample[ha]]) & (ba == ba[sample[ha]])
+            at, ha = at[same], ha[same]
+            counts = np.bincount(ha, minlength=n + 1)
+            order = np.flatnonzero(counts >= bar)
+            if len(order) or bar == least:
+                break
+            bar = max(least, bar // 2)
+        if not len(order):
+            if exact:
+                break
+            exact = True
+            continue
         order = order[np.argsort(-counts[order], kind="stable")]
         left, right = aa[sample[order]], ba[sample[order]]
         take = _chosen(left.tolist(), right.tolist(), min(per_round, most - n_rules))
-        if not take:
-            break
-        code = np.zeros(1 << bits, np.uint32)
+        code = np.zeros(n + 1, np.uint32)
         code[order[take]] = first + n_rules + np.arange(len(take), dtype=np.uint32)
         rules.append(np.stack([left[take], right[take]], 1))
         n_rules += len(take)
         new = code[ha]
         at, new = at[new > 0], new[new > 0]
-        twin = a[at] == b[at]
-        if twin.any():  # runs: every other position from the run's start
-            t = at[twin]
-            begins = np.flatnonzero(np.diff(t, prepend=-2) != 1)
-            nth = np.arange(len(t)) - np.repeat(begins, np.diff(begins, append=len(t)))
-            drop = np.zeros(len(at), bool)
-            drop[np.flatnonzero(twin)[nth % 2 == 1]] = True
-            at, new = at[~drop], new[~drop]
         s[at] = new
         e[at] |= e[at + 1]
         keep = np.ones(len(s), bool)

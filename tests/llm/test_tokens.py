@@ -56,6 +56,22 @@ def test_grammar_round_trip(docs):
     assert marks.sum() == len(docs) and len(symbols) == len(marks) <= len(ids)
 
 
+def test_grammar_goes_on_until_no_pair_is_left():
+    docs = [np.array([*range(1, 51)] * 64 + [0], np.uint32), np.random.default_rng(0).integers(1, 60, 3000).astype(np.uint32)]
+    ids, ends = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, rules, marks = compress(ids, ends, 100, 10_000)
+    grammar = Grammar(rules, 100)
+    assert grammar.expand(symbols).tolist() == ids.tolist() and grammar.length.max() >= 50 * 16
+    seen, last = {}, {}
+    for k in np.flatnonzero(~marks[:-1]).tolist():
+        pair = int(symbols[k]), int(symbols[k + 1])
+        if last.get(pair, -2) < k - 1:  # not the overlapping second pair of a run
+            seen[pair], last[pair] = seen.get(pair, 0) + 1, k
+    assert max(seen.values()) == 1
+    assert len(compress(ids, ends, 100, 40)[1]) == 40
+
+
 def test_shard_reads_anywhere():
     r = np.random.default_rng(0)
     docs = [np.append(r.integers(0, 50, n), 0).astype(np.uint32) for n in (0, 3, 4000, 1, 9000)] + [np.array([7, 8] * 500 + [0], np.uint32), np.array([5] * 999 + [0], np.uint32)]
