@@ -1,6 +1,7 @@
 """Quality rules: text statistics, and robust multivariate outliers among them.
 
-Each language and source has a minimum-covariance-determinant estimate of the transformed statistic vector: from two
+Each language and source (or, where one has few rows, all of its language, or the whole table) has a
+minimum-covariance-determinant estimate of the transformed statistic vector: from two
 deterministic starts (mean and covariance; medians and interquartile ranges), concentration steps alternate between
 Mahalanobis distances and the mean and covariance of the ``share`` nearest rows, and the start whose covariance ends
 with the smaller determinant stands. A document is rejected beyond a chi-squared cut of its squared distance.
@@ -68,16 +69,18 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, least: int) -> DataFrame:
-    """rows with ``g``: language and source, or the language where a source has fewer than least rows to learn from,
-    or null where even the language's remaining rows are too few. Null languages and sources are values like others."""
-    name = lambda *c: F.to_json(F.struct(*c))
+    """rows with ``g``, whose estimate judges them: language and source, or all of the language where the source has fewer
+    than least rows to learn from, or all rows where the language has fewer. ``into`` has the groups that learn from a row.
+    Null languages and sources are values like others."""
+    name = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     rows = rows.withColumn("__own", name("lang", "source")).withColumn("__all", name("lang"))
     good = F.sum((~F.col("base_failed")).cast("bigint"))
     own = rows.groupBy("__own", "__all").agg(good.alias("n"))
-    own = own.withColumn("enough", F.col("n") >= least)
-    left = own.where("NOT enough").groupBy("__all").agg(F.sum("n").alias("m"))
-    names = own.join(left, "__all", "left").select("__own", F.when(F.col("enough"), F.col("__own")).when(F.col("m") >= least, F.col("__all")).alias("g"))
-    return rows.join(names, "__own").drop("__own", "__all")
+    all_ = own.groupBy("__all").agg(F.sum("n").alias("m"))
+    names = small(own.join(all_, "__all").select("__own", "__all", F.when(F.col("n") >= least, F.col("__own")).when(F.col("m") >= least, F.col("__all")).otherwise("{}").alias("g")))
+    levels = names.select("__own", F.explode(F.array("__own", "__all", F.lit("{}"))).alias("g"))
+    into = levels.join(names.select("g").distinct(), "g", "left_semi").groupBy("__own").agg(F.collect_list("g").alias("into"))
+    return rows.join(small(names.join(into, "__own").select("__own", "g", "into")), "__own").drop("__own", "__all")
 
 
 def factored(sums: DataFrame) -> DataFrame:
@@ -169,12 +172,13 @@ def estimates(learn: DataFrame, share: float, steps: int) -> DataFrame:
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 4, least: int = 100, cut: float = CHI_9999) -> DataFrame:
     """One row per document: doc_id, the base statistics, base_failed, kept, and distance (scaled squared Mahalanobis).
 
-    Documents that fail the base rules are neither learnt from nor kept. Where language and source have too few rows
-    even when pooled, distance is null and the base rules alone decide. Null and empty texts have no words and fail.
+    Documents that fail the base rules are neither learnt from nor kept. Sources with fewer than ``least`` rows are judged
+    by an estimate over all rows of their language, languages with fewer by one over all rows, however few: every
+    document that passes the base rules has a distance. Null and empty texts have no words and fail.
     Repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     rows = stored(grouped(stored(statistics(docs)), least))
-    learn = rows.where("NOT base_failed AND g IS NOT NULL").select("g", *STATISTICS)
+    learn = rows.where("NOT base_failed").select(F.explode("into").alias("g"), *STATISTICS)
     found = estimates(learn, share, steps)
     rows = rows.join(found, "g", "left").withColumn("distance", squared_distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))

@@ -211,6 +211,19 @@ def test_estimates_find_planted_outliers(spark, none):
     assert kept.columns == docs.columns and kept.count() == 600 - len(bad)
 
 
+def test_small_sources_are_judged_by_their_language_or_all(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for d in range(400):
+        words = ["".join(r.choice(list("abcdefgh"), r.integers(2, 9))) for _ in range(int(np.exp(r.normal(5, 0.7))) + 25)]
+        junk = 300 <= d < 360 or d in (397, 398)
+        lang, source = ("en", "large") if d < 300 else ("en", None) if d < 360 else ("en", "fine") if d < 390 else ("es", "rare")
+        rows.append((d, " ".join(x + "###" if junk else x for x in words), lang, source))
+    got = mcd_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert all(x.distance is not None for x in got if not x.base_failed)
+    assert {x.doc_id for x in got if not x.kept} == {*range(300, 360), 397, 398}
+
+
 def test_votes_on_held_out_labels(spark, odd, none):
     from starling.llm.common import read
 
