@@ -149,6 +149,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    random.Random(0).shuffle(ids)
+    links = spark.createDataFrame([*zip(ids[:-1], ids[1:], strict=True), (2000, 2001)], "a bigint, b bigint")
+    got = {r.id: r.component for r in components(links).collect()}
+    assert got == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "tld.csv").write_text("ad, Andorra,\nfr, France,\n")
     assert [tuple(r) for r in readers.top_level_domains(spark, str(tmp_path / "tld.csv")).orderBy("code").collect()] == [("ad", "Andorra"), ("fr", "France")]
