@@ -97,10 +97,14 @@ def ind_locfield(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", *first())
 
 
+def gis_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offline answers of the other gazetteer: (query, rank, name, placetype, score, max_score, lng, lat)."""
+    return gazetteer(spark, sf_dir).select("query", "rank", "name", F.when(F.col("rank") < 3, "Adm").otherwise("Spot").alias("placetype"), "score", F.lit(8.0).alias("max_score"), "lng", "lat")
+
+
 @query()
 def ind_gis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gazetteer(spark, sf_dir).select("query", "rank", "name", F.when(F.col("rank") < 3, "Adm").otherwise("Spot").alias("placetype"), "score", F.lit(8.0).alias("max_score"), "lng", "lat")
-    return ev.gis_field(keyed(spark, sf_dir), g, areas(spark, sf_dir), 3).select("key", *first())
+    return ev.gis_field(keyed(spark, sf_dir), gis_gazetteer(spark, sf_dir), areas(spark, sf_dir), 3).select("key", *first())
 
 
 def united(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +113,13 @@ def united(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.united([ev.website(rows, countries(spark, sf_dir)), ev.time_zone(rows, z), ev.zone_offset(rows, z)])
 
 
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All evidence that profiles have: coordinates, location fields by both gazetteers, websites, zones and offsets."""
+    rows, a = keyed(spark, sf_dir), areas(spark, sf_dir)
+    field = ev.location_field(rows, gazetteer(spark, sf_dir), a, countries(spark, sf_dir), lambda left: ev.message(left, annotations(spark, sf_dir), entities(spark, sf_dir), a, "GN_3", "location_field"))
+    return ev.united([united(spark, sf_dir), ev.coordinate(rows), field, ev.gis_field(rows, gis_gazetteer(spark, sf_dir), a, 3)])
+
+
 UNITED_SQL = rf"""{AREAS_SQL}, {COUNTRIES_SQL}, {ZONES_SQL}, {PROFILES_SQL}, {TZ_SQL}, united AS (
   SELECT user_id AS key, 'website' AS indicator, 1.07::DOUBLE AS weight, x0, y0, x1, y1 FROM (SELECT user_id, regexp_extract(url, '\.([a-z]{{2,3}})([ /]|$)', 1) AS tld FROM profiles) JOIN countries USING (tld)
   UNION ALL SELECT user_id, 'time_zone', 0.56::DOUBLE, x0, y0, x1, y1 FROM tz JOIN zones ON CASE WHEN us IS NOT NULL THEN code = us AND zone ILIKE '%America%' ELSE zone ILIKE '%' || name || '%' END
@@ -202,7 +213,7 @@ def mi_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def mi_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per profile: the answer's contours, threshold weight and what it rests on; profiles without evidence have no contours."""
-    evidence = united(spark, sf_dir)
+    evidence = whole(spark, sf_dir)
     tops = ra.squares(ra.infer(evidence)).groupBy("key").agg(F.sort_array(F.collect_list("ring")).alias("poly"), F.round(F.max("best") * 0.75, 6).alias("weight"))
     counts = evidence.groupBy("key").agg(F.countDistinct("indicator").alias("inds"), F.count("*").alias("polys"))
     rows = keyed(spark, sf_dir).select("key").join(counts, "key", "left").join(tops, "key", "left")

@@ -27,6 +27,18 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).columns
 
 
+def test_results_rest_on_all_indicators_of_profiles(spark):
+    inds, polys = {}, {}
+    for name in ("ind_coordinate", "ind_locfield", "ind_gis", "ind_website", "ind_tz", "ind_tzoffset"):
+        for r in QUERIES[name](spark, SF).collect():
+            inds.setdefault(r.key, set()).add(name)
+            polys[r.key] = polys.get(r.key, 0) + 1
+    got = {r.key: r for r in QUERIES["mi_result"](spark, SF).collect()}
+    assert {k: (r.inds, r.polys) for k, r in got.items()} == {k: (len(inds.get(k, ())), polys.get(k, 0)) for k in got}
+    written = [r.weight for k, r in got.items() if "ind_coordinate" in inds.get(k, ())]
+    assert written and min(written) >= 0.75 * 2.72 - 1e-6
+
+
 def test_entry(spark):
     import __spark_entry__
 
