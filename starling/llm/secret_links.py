@@ -60,9 +60,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def looks_random(value: str) -> bool:
-    """Digits with letters of both cases, or many different characters."""
+    """At least two of digits, small and capital letters, and many different characters."""
     kinds = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
-    return kinds == 3 and len(set(value)) >= 10
+    return kinds >= 2 and len(set(value)) >= 10
 
 
 def weak_spans(text: str, taken: list[Span]) -> list[Span]:

@@ -157,6 +157,14 @@ def test_secrets_base_and_linked(odd, none):
     assert clean.columns == odd.columns and clean.count() == odd.count() and clean.where("text LIKE '%AKIA%'").count() == 0
 
 
+@pytest.mark.parametrize("part", ["0123456789abcdef01234567", "mzxw6ytboi2dq3lnn5zgk43u", "MZXW6YTBOI2DQ3LNN5ZGK43U"])
+def test_secrets_of_two_kinds_of_characters_are_linked(part):
+    together = f"username = alice, then {part} at https://api.example.com/v1"
+    assert secret_links.redact(together, secret_links.scan(together)[1]) == "username = <identifier>, then <secret> at <endpoint>"
+    alone = f"see {part} at https://api.example.com/v1"
+    assert secret_links.scan(alone)[1] == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_secrets_equal_brute_force(seed):
     import random
