@@ -15,6 +15,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -35,7 +36,7 @@ WEAK = (
     ("identifier", ("=", ":"), re.compile(r"""(?i:\b(?:user(?:name|_id)?|login|account(?:_id)?|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9._@-]{2,63})""", re.ASCII), 1),
     ("identifier", ("AIDA", "AROA", "ASIA"), re.compile(r"\b(?:AIDA|AROA|ASIA)[A-Z0-9]{12,}"), 0),
     ("secret", ("=", ":"), re.compile(r"""(?i:\b(?:pass|pwd|auth|bearer|private_?key|access_?secret|key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.ASCII), 1),
-    ("secret", (), re.compile(r"(?<![A-Za-z0-9+/_-])(?=[^\s]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])", re.ASCII), 0),
+    ("secret", (), re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])", re.ASCII), 0),
     ("endpoint", ("://",), re.compile(r"""\b[a-z][a-z0-9+]{1,15}://[^\s"'<>]{4,}""", re.ASCII), 0),
     ("endpoint", ("=", ":"), re.compile(r"""(?i:\b(?:host(?:name)?|endpoint|server|bucket))["']?\x20*[:=]\x20*["']?([A-Za-z0-9][A-Za-z0-9.-]{3,252}(?::[0-9]{1,5})?)""", re.ASCII), 1),
 )
@@ -60,9 +61,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def looks_random(value: str) -> bool:
-    """At least two of digits, small and capital letters, and many different characters."""
-    kinds = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
-    return kinds >= 2 and len(set(value)) >= 10
+    """A digit, a letter, and many different characters."""
+    found = set(value)
+    return len(found) >= 10 and any(c.isdigit() for c in found) and any(c.isalpha() for c in found)
 
 
 def weak_spans(text: str, taken: list[Span]) -> list[Span]:
@@ -80,14 +81,16 @@ def weak_spans(text: str, taken: list[Span]) -> list[Span]:
     return sorted(found)
 
 
-def within(span: Span, starts: list[int], longest: int, ends: list[int], reach: int) -> bool:
-    """Whether some interval of a sorted list meets span's scope."""
-    k = bisect.bisect_right(starts, span.end + reach) - 1
-    while k >= 0 and starts[k] >= span.start - reach - longest:
-        if ends[k] >= span.start - reach:
-            return True
-        k -= 1
-    return False
+class Scopes:
+    """Intervals sorted by start, to be asked whether some of them meets a scope."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts = [s.start for s in spans]
+        self.ends = list(accumulate((s.end for s in spans), max))  # the last end of all that start no later
+
+    def meet(self, span: Span, reach: int) -> bool:
+        k = bisect.bisect_right(self.starts, span.end + reach)
+        return k > 0 and self.ends[k - 1] >= span.start - reach
 
 
 def scan(text: str | None, reach: int = 200) -> tuple[list[Span], list[Span]]:
@@ -101,10 +104,9 @@ def scan(text: str | None, reach: int = 200) -> tuple[list[Span], list[Span]]:
     parts: dict[str, list[Span]] = {"identifier": [], "secret": [], "endpoint": []}
     for s in sorted({*base, *weak}):
         parts[PARTS[KINDS[s.kind]]].append(s)
-    index = {k: ([s.start for s in v], max([0, *(s.end - s.start for s in v)]), [s.end for s in v]) for k, v in parts.items()}
-    near = lambda s, k: within(s, *index[k], reach)
+    index = {k: Scopes(v) for k, v in parts.items()}
     needs = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
-    linked = [s for s in weak if all(near(s, k) for k in needs[KINDS[s.kind]])]
+    linked = [s for s in weak if all(index[k].meet(s, reach) for k in needs[KINDS[s.kind]])]
     return base, sorted([*base, *linked])
 
 
@@ -146,11 +148,12 @@ def scan_documents(docs: DataFrame, reach: int = 200) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, reach: int = 200) -> DataFrame:
-    """docs with the secrets in text replaced by marks, and n_chars to match; other columns stay as they are."""
+    """docs with the secrets in text replaced by marks, and n_chars, where there is one, to match; other columns stay."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         return pd.Series([redact(t, scan(t, reach)[1]) for t in texts], dtype=object)
 
-    return docs.withColumn("text", cleaned("text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    docs = docs.withColumn("text", cleaned("text"))
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
