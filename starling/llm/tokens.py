@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterable
 
@@ -72,7 +73,8 @@ class Encoder:
 
     Its pre-tokenizer splits at every single space or line feed between two characters that aren't white space: the
     space goes with what follows, the line feed stands alone. So pieces cut there encode on their own and are
-    remembered, up to a bound. Texts where white space meets white space, or an end, are encoded whole.
+    remembered, up to a bound. Texts where white space meets white space, or an end, and texts that hold the string of
+    an added token, are encoded whole.
     """
 
     def __init__(self, path: str | None = None, most: int = 800_000) -> None:
@@ -80,7 +82,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public())
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content})
+        self.added = "|".join(map(re.escape, added)) or None
         self.model = self.tokenizer.model
         self.split = regex.compile(PATTERN).findall
         shown = visible()
@@ -112,6 +115,13 @@ class Encoder:
         except Unsafe:
             return None
 
+    def special(self, column: pa.Array) -> np.ndarray | None:
+        """Which texts hold the string of an added token; None if none does."""
+        if self.added is None:
+            return None
+        found = pc.match_substring_regex(column, self.added).to_numpy(zero_copy_only=False)
+        return found if found.any() else None
+
     def documents(self, texts: Iterable[str | None], end: bool = True) -> list[np.ndarray]:
         """The ids of each text (null: none), with the end id.
 
@@ -120,6 +130,7 @@ class Encoder:
         column = pc.fill_null(pa.array(texts, pa.large_string(), from_pandas=True), "")
         if not len(column):
             return []
+        special = self.special(column)
         parts = pc.split_pattern(column, " ")
         coded = parts.flatten().dictionary_encode()
         codes, offsets = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy() - parts.offsets[0].as_py()
@@ -134,6 +145,8 @@ class Encoder:
             found += [b"" if not x and n == 1 else self.safe(self.heads, x) for x, n in zip(heads, np.diff(offsets).tolist(), strict=True)]
             whole = np.logical_or.reduceat(np.array([x is None for x in found])[codes], offsets[:-1])
             found = [x or b"" for x in found]
+        if special is not None:
+            whole = special if whole is None else whole | special
         table = np.frombuffer(b"".join(found), "<u4")
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(length) - length
