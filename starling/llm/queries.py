@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import new_path, read
 from .config_packing import pack_documents
 from .debruijn import strip_repeats
 from .jaccard_join import similar_classes
@@ -32,7 +30,7 @@ def op2_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    path = new_path(spark, "token-shards")
     write_shards(read(spark, sf_dir, "documents"), path)
     return read_shards(spark, path)
 

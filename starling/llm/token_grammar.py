@@ -2,16 +2,16 @@
 
 Documents are dealt into ranges of ascending doc_id; each task encodes its range and cuts it into shards of about
 ``shard_tokens`` tokens (a document is never split). In a shard, frequent pairs of neighbouring symbols are replaced
-by nonterminals, round after round, until none occurs twice or the table of rules is full (65,536 less the vocabulary
-where symbols have two bytes). A round takes many pairs at once, the most frequent first, such that no symbol is the
-left part of one and the right part of another: then no two replaced pairs overlap, and the round equals replacing
-them one by one. A run of one symbol is replaced two by two from its start. No pair crosses the end of a document, so
-every document is a run of whole symbols.
+by nonterminals, round after round, until none occurs twice. A round takes many pairs at once, the most frequent first,
+such that no symbol is the left part of one and the right part of another: then no two replaced pairs overlap, and the
+round equals replacing them one by one. A run of one symbol is replaced two by two from its start. No pair crosses the
+end of a document, so every document is a run of whole symbols.
 
 A shard is one binary image (row of a Parquet table, so that Spark's committer makes the write atomic and a lost
-executor's task is simply run again). Little-endian: ``RPG1``, crc32 of all that follows, then the counts of tokens,
-documents, rules and symbols, the first nonterminal and the bytes of a symbol (u32 each; tokens u64); doc_ids (i64),
-null flags (u8), tokens and symbols of each document (u32), rules (two u32 each), expansion lengths (u32), symbols.
+executor's task is simply run again). Little-endian: ``RPG2``, crc32 of all that follows, then the count of tokens (u64)
+and those of documents, rules and symbols, the first nonterminal, the bits of a symbol and the bytes of an expansion
+length (u32 each); doc_ids (i64), null flags (u8), tokens and symbols of each document (u32); expansion lengths; then,
+each packed in as many bits as a symbol needs, the rules' two sides and the symbols.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches
+from .common import small_batches, spread
 from .tokens import Encoder
 
-_HEAD = struct.Struct("<QIIIII")
-_MAGIC = b"RPG1"
+_HEAD = struct.Struct("<QIIIIII")
+_MAGIC = b"RPG2"
 
 
 def _chosen(left: list[int], right: list[int], most: int) -> list[int]:
@@ -55,6 +55,7 @@ def _codes(a: np.ndarray, b: np.ndarray, out: np.ndarray, turn: int, exact: bool
     if not exact:
         odd = np.uint32((0x9E3779B1 * (2 * turn + 1)) & 0xFFFFFFFF)
         h = ((a * odd) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - bits)
+        h = h.astype(np.int64)
         h[out] = 1 << bits
         return h, 1 << bits
     keys, of = np.unique(a[~out].astype(np.uint64) << np.uint64(32) | b[~out], return_inverse=True)
@@ -63,59 +64,84 @@ def _codes(a: np.ndarray, b: np.ndarray, out: np.ndarray, turn: int, exact: bool
     return h, len(keys)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int, least: int = 2, per_round: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30, hashed: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2) and end marks. ends marks the last id of each document; nonterminals count from first.
 
-    Rounds follow each other until no pair occurs ``least`` times or there are ``most`` rules. ``per_round`` bounds the
-    pairs of one round only, which are at least half as frequent as its first. Pairs are counted by hash as long as that
-    finds any to replace, then exactly.
+    Rounds follow each other until no pair occurs twice or there are ``most`` rules; a round's pairs are at least a
+    sixth as frequent as its first. Symbols are linked, not moved. A pair that occurs once never occurs again, as new
+    pairs hold new symbols only, so a round looks at places whose pair occurred twice in the last one or is new. More than
+    ``hashed`` of them are counted by hash as long as that finds any to replace, else exactly.
     """
-    s, e, rules = ids.astype(np.uint32), ends.copy(), []
-    n_rules, exact = 0, False
-    while len(s) > 1 and n_rules < most:
-        a, b = s[:-1], s[1:]
-        out = e[:-1].copy()
-        twins = np.flatnonzero((a == b) & ~out)  # runs: every other position from the run's start
-        begins = np.flatnonzero(np.diff(twins, prepend=-2) != 1)
-        out[twins[(np.arange(len(twins)) - np.repeat(begins, np.diff(begins, append=len(twins)))) % 2 == 1]] = True
-        h, n = _codes(a, b, out, len(rules), exact)
+    size = len(ids)
+    s = np.append(ids.astype(np.uint32), np.uint32(0))
+    right, left = np.arange(1, size + 2), np.arange(-1, size)
+    right[:size][ends], left[:size][np.append(True, ends[:-1])[:size]] = size, size  # place size is nobody's
+    active = np.append(right[:size] < size, False)
+    rules, n_rules, exact, turn = [], 0, False, 0
+    while n_rules < most:
+        at = np.flatnonzero(active)
+        if not len(at):
+            break
+        a, b = s[at], s[right[at]]
+        out = np.zeros(len(at), bool)
+        twins = np.flatnonzero(a == b)  # runs: every other place from the run's start
+        if len(twins):
+            place = at[twins]
+            begins = np.flatnonzero(np.append(True, right[place[:-1]] != place[1:]))
+            out[twins[(np.arange(len(twins)) - np.repeat(begins, np.diff(begins, append=len(twins)))) % 2 == 1]] = True
+        exact, turn = exact or len(at) <= hashed, turn + 1
+        h, n = _codes(a, b, out, turn, exact)
         totals = np.bincount(h, minlength=n + 1)
         totals[n] = 0
-        bar = max(least, int(totals.max()) // 2)  # the most frequent first, or rare pairs fill the table before new ones are seen
-        if n >= 2 * per_round:
-            bar = max(bar, int(np.partition(totals, -2 * per_round)[-2 * per_round]))
+        bar = max(2, int(totals.max()) // 6)  # the most frequent first
         while True:
-            at = np.flatnonzero((totals >= bar)[h])
-            ha, aa, ba = h[at], a[at], b[at]
+            some = np.flatnonzero((totals >= bar)[h])
+            hs, aa, bb = h[some], a[some], b[some]
             sample = np.zeros(n + 1, np.int64)
-            sample[ha] = np.arange(len(at))  # one pair stands for its code; others of that code wait for a later round
-            same = (aa == aa[sample[ha]]) & (ba == ba[sample[ha]])
-            at, ha = at[same], ha[same]
-            counts = np.bincount(ha, minlength=n + 1)
+            sample[hs] = np.arange(len(some))  # one pair stands for its code; others of that code wait for a later round
+            same = (aa == aa[sample[hs]]) & (bb == bb[sample[hs]])
+            some, hs = some[same], hs[same]
+            counts = np.bincount(hs, minlength=n + 1)
             order = np.flatnonzero(counts >= bar)
-            if len(order) or bar == least:
+            if len(order) or bar == 2:
                 break
-            bar = max(least, bar // 2)
+            bar = max(2, bar // 2)
         if not len(order):
             if exact:
                 break
             exact = True
             continue
         order = order[np.argsort(-counts[order], kind="stable")]
-        left, right = aa[sample[order]], ba[sample[order]]
-        take = _chosen(left.tolist(), right.tolist(), min(per_round, most - n_rules))
+        one, two = aa[sample[order]], bb[sample[order]]
+        take = _chosen(one.tolist(), two.tolist(), most - n_rules)
         code = np.zeros(n + 1, np.uint32)
         code[order[take]] = first + n_rules + np.arange(len(take), dtype=np.uint32)
-        rules.append(np.stack([left[take], right[take]], 1))
+        rules.append(np.stack([one[take], two[take]], 1))
         n_rules += len(take)
-        new = code[ha]
-        at, new = at[new > 0], new[new > 0]
-        s[at] = new
-        e[at] |= e[at + 1]
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        s, e = s[keep], e[keep]
-    return s, np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), e
+        # places whose pair may occur twice stay; so does a run's other half
+        mates = h.copy()
+        if exact and len(twins):
+            keys = s[at[twins]]
+            known = {int(x): int(c) for x, c in zip(keys, h[twins], strict=True) if c < n}
+            mates[twins] = [known[int(x)] for x in keys]
+        elif len(twins):
+            mates[twins] = _codes(a[twins], b[twins], np.zeros(len(twins), bool), turn, False)[0]
+        active[at[totals[mates] < 2]] = False
+        new = code[hs]
+        gone = new > 0
+        spot = at[some[gone]]
+        s[spot] = new[gone]
+        eaten = right[spot]
+        after = right[eaten]
+        right[spot] = after
+        left[after] = spot
+        active[eaten] = False
+        active[spot] = after < size
+        active[left[spot]] = True
+        active[size] = False
+        s[eaten] = np.uint32(0xFFFFFFFF)
+    there = np.flatnonzero(s[:size] != np.uint32(0xFFFFFFFF))
+    return s[there], np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), right[there] == size
 
 
 class Grammar:
@@ -144,31 +170,45 @@ class Grammar:
         return self.text[np.repeat(self.start[symbols] - (ends - n), n) + np.arange(total)]
 
 
+def squeeze(x: np.ndarray, bits: int) -> bytes:
+    """Numbers in so many bits each, lowest first."""
+    wide = np.unpackbits(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+    return np.packbits(wide[:, :bits].ravel(), bitorder="little").tobytes()
+
+
+def unsqueeze(packed: np.ndarray, bits: int, begin: int, end: int) -> np.ndarray:
+    """Numbers begin … end - 1 of those in packed bytes; no others are looked at."""
+    some = np.unpackbits(packed[begin * bits // 8 : (end * bits + 7) // 8], bitorder="little")
+    some = some[begin * bits % 8 :][: (end - begin) * bits].reshape(-1, bits)
+    wide = np.zeros((end - begin, 32), np.uint8)
+    wide[:, :bits] = some
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+
+
 def pack(doc_ids: list, docs: list[np.ndarray], vocabulary: int) -> bytes:
     """The image of a shard: docs are the ids of its documents, each with its end id."""
     ids = np.concatenate(docs).astype(np.uint32)
     tokens = np.array([len(x) for x in docs], np.uint32)
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(tokens, dtype=np.int64) - 1] = True
-    room = (1 << 16) - vocabulary
-    width = 2 if room >= 4096 else 4
-    symbols, rules, e = compress(ids, ends, vocabulary, room if width == 2 else 1 << 16)
-    grammar = Grammar(rules, vocabulary)
+    symbols, rules, e = compress(ids, ends, vocabulary)
+    length = Grammar(rules, vocabulary).length[vocabulary:]
+    bits, wide = (vocabulary + len(rules)).bit_length(), 2 if length.max(initial=0) < 1 << 16 else 4
     per_doc = np.diff(np.flatnonzero(e), prepend=-1).astype(np.uint32)
     nulls = np.array([x is None for x in doc_ids], np.uint8)
-    body = _HEAD.pack(len(ids), len(docs), len(rules), len(symbols), vocabulary, width)
+    body = _HEAD.pack(len(ids), len(docs), len(rules), len(symbols), vocabulary, bits, wide)
     body += np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes() + nulls.tobytes() + tokens.astype("<u4").tobytes() + per_doc.astype("<u4").tobytes()
-    body += rules.astype("<u4").tobytes() + grammar.length[vocabulary:].astype("<u4").tobytes() + symbols.astype(f"<u{width}").tobytes()
+    body += length.astype(f"<u{wide}").tobytes() + squeeze(rules.ravel(), bits) + squeeze(symbols, bits)
     return _MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
 
 class Shard:
-    """A shard's image opened for reading."""
+    """A shard's image opened for reading. The grammar is opened at once, symbols only where they are asked for."""
 
     def __init__(self, image: bytes) -> None:
         if image[:4] != _MAGIC or struct.unpack_from("<I", image, 4)[0] != zlib.crc32(memoryview(image)[8:]):
             raise ValueError("not a shard, or a damaged one")
-        self.n_tokens, docs, rules, symbols, first, width = _HEAD.unpack_from(image, 8)
+        self.n_tokens, docs, rules, self.n_symbols, first, self.bits, wide = _HEAD.unpack_from(image, 8)
         at = 8 + _HEAD.size
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -180,23 +220,36 @@ class Shard:
         ids, nulls = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(x) for x, z in zip(ids, nulls, strict=True)]
         self.tokens, self.symbols_of = take("<u4", docs), take("<u4", docs)
-        self.grammar = Grammar(take("<u4", 2 * rules).reshape(-1, 2), first)
-        if not np.array_equal(take("<u4", rules), self.grammar.length[first:]):
+        #: The index: where each document's tokens and symbols end.
+        self.token_ends, self.symbol_ends = np.cumsum(self.tokens, dtype=np.int64), np.cumsum(self.symbols_of, dtype=np.int64)
+        lengths = take(f"<u{wide}", rules)
+        sides = unsqueeze(take("u1", (2 * rules * self.bits + 7) // 8), self.bits, 0, 2 * rules)
+        self.grammar = Grammar(sides.reshape(-1, 2), first)
+        if not np.array_equal(lengths, self.grammar.length[first:]):
             raise ValueError("expansion lengths don't fit the rules")
-        self.symbols = take(f"<u{width}", symbols)
+        self.packed = take("u1", (self.n_symbols * self.bits + 7) // 8)
+
+    def symbols(self, begin: int, end: int) -> np.ndarray:
+        return unsqueeze(self.packed, self.bits, begin, end)
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        ids = self.grammar.expand(self.symbols)
-        ends = np.cumsum(self.tokens, dtype=np.int64)
-        for d, n, end in zip(self.doc_ids, self.tokens, ends, strict=True):
+        ids = self.grammar.expand(self.symbols(0, self.n_symbols))
+        for d, n, end in zip(self.doc_ids, self.tokens, self.token_ends, strict=True):
             yield d, ids[end - n : end]
 
     def read(self, start: int, length: int) -> np.ndarray:
-        """Tokens start … start + length - 1 of the shard; only the symbols that hold them are expanded."""
-        ends = np.cumsum(self.grammar.length[self.symbols])
-        lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
-        before = int(ends[lo - 1]) if lo else 0
-        return self.grammar.expand(self.symbols[lo:hi])[start - before : start - before + length]
+        """Tokens start … start + length - 1 of the shard. The index names the documents that hold them; only their
+        symbols are unpacked and measured, and only those that hold the tokens are expanded."""
+        stop = min(start + length, self.n_tokens)
+        if start >= stop:
+            return np.empty(0, np.uint32)
+        a, b = np.searchsorted(self.token_ends, start, "right"), np.searchsorted(self.token_ends, stop, "left")
+        symbols = self.symbols(int(self.symbol_ends[a] - self.symbols_of[a]), int(self.symbol_ends[b]))
+        base = int(self.token_ends[a]) - int(self.tokens[a])
+        ends = base + np.cumsum(self.grammar.length[symbols])
+        lo, hi = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+        before = int(ends[lo - 1]) if lo else base
+        return self.grammar.expand(symbols[lo:hi])[start - before : stop - before]
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = 1 << 20, vocabulary: int = 50_257) -> None:
@@ -226,7 +279,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             yield out()
 
     rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("bigint").alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), F.desc("none"), "doc_id").sortWithinPartitions(F.desc("none"), "doc_id", "text")
+    rows = rows.repartitionByRange(spread(docs), F.desc("none"), "doc_id").sortWithinPartitions(F.desc("none"), "doc_id", "text")
     rows.mapInPandas(encode, "part int, before bigint, n_docs bigint, n_tokens bigint, image binary").write.parquet(path)
 
 
