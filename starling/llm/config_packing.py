@@ -189,12 +189,14 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_id
     return rows.mapInPandas(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def ranked(rows: DataFrame, salts: int = 32) -> DataFrame:
-    """rows with ``rank``: gapless from 0 among pieces of one length.
+def ranked(rows: DataFrame, counts: np.ndarray, most: int = 200_000) -> DataFrame:
+    """rows with ``rank``: gapless from 0 among pieces of one length. counts: how many there are of each length.
 
-    A length may hold most rows, so it is cut into salts, whose counts (capacity * salts at most) give first ranks.
+    A length may hold most rows, so it is cut into salts of about ``most`` rows, whose counts give first ranks: a row of
+    a few bytes for each length and each ``most`` rows is broadcast.
     """
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = F.lit((1 + counts // most).tolist())
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("length", "__salt").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     inside = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -222,6 +224,6 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None
             nth, copy = np.divmod(rank - t["rank"][at], t["copies"][at])
             yield f.assign(sequence_id=t["sequence"][at] + nth, offset=t["offset"][at] + copy * length).drop(columns="rank")
 
-    ranks = ranked(rows)
+    ranks = ranked(rows, counts)
     schema = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
     return ranks.select(*rows.columns, "rank").mapInPandas(place, f"{schema}, sequence_id bigint, offset bigint")
