@@ -9,6 +9,7 @@ that growth by one shard takes rows only into the new one.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,19 +65,30 @@ def descend(df: DataFrame, key: Column, tree: Tree, out: str = "shard") -> DataF
     return df.drop(region, rack)
 
 
-def slots(df: DataFrame, shard: str, order: str, pieces: int = 64) -> DataFrame:
-    """df with ``slot``: gapless from 0 in each shard, by the numeric order column (nulls first).
+def slots(df: DataFrame, shard: str, order: str, ties: tuple[str, ...], pieces: int = 1024, least: int = 200_000) -> DataFrame:
+    """df with ``slot``: gapless from 0 in each shard, by the numeric order column (nulls first), then the ties.
 
-    Shards are few and may be huge, so each is cut at quantiles of the order column; counts of (shard, piece) give
-    each piece its first slot and rows are numbered inside a piece only. Where exactly the cuts lie changes nothing.
+    The first tie is a 32-bit number. Rows equal in all of them are interchangeable, so a task run again numbers alike.
+    Shards are few and may be huge, so each is cut at quantiles of the order column into pieces (as many as leave each
+    ``least`` rows, ``pieces`` at most). A value that holds a piece or more of its own, like null, is cut by its first
+    tie. Counts of (shard, piece) give each piece its first slot and rows are numbered inside a piece only. Where
+    exactly the cuts lie changes nothing.
     """
-    cuts = df.agg(F.percentile_approx(order, [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
-    above = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    df = df.withColumn("__piece", F.when(F.col(order).isNull(), 0).otherwise(above))
+    grid = [k / pieces for k in range(1, pieces)]
+    cuts, n = df.agg(F.percentile_approx(order, grid, 10_000), F.count("*")).first()
+    wide = max(1, pieces * least // max(n, 1))  # every so many quantiles is a cut
+    cuts = (cuts or [])[wide - 1 :: wide]
+    hot = sorted(x for x, k in Counter(cuts).items() if k > 1)
+    part = F.shiftright(F.col(ties[0]), 26).cast("bigint")  # 64 of them
+    above = F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(order))).cast("bigint") if cuts else F.lit(0).cast("bigint")
+    piece = (above + 1) * 128
+    if hot:
+        piece = piece + F.when(F.col(order).isin(hot), 64 + part).otherwise(0)
+    df = df.withColumn("__piece", F.when(F.col(order).isNull(), part).otherwise(piece))
     before = Window.partitionBy(shard).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     first = df.groupBy(shard, "__piece").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = Window.partitionBy(shard, "__piece").orderBy(F.col(order).asc_nulls_first())
-    # shards * pieces rows: bounded by parameters, whatever the input
+    inside = Window.partitionBy(shard, "__piece").orderBy(F.col(order).asc_nulls_first(), *ties)
+    # shards * pieces rows, 65 for a hot value: bounded by parameters, whatever the input
     return df.join(F.broadcast(first), [shard, "__piece"]).withColumn("slot", F.col("__first") + F.row_number().over(inside) - 1).drop("__piece", "__first")
 
 
@@ -90,4 +102,4 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     rows = descend(rows, F.col("doc_id"), Tree.of(shards, base=shards), "shard")
     rows = descend(rows, F.col("doc_id"), Tree.of(shards + 1, base=shards), "grown_shard")
-    return slots(rows, "shard", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
+    return slots(rows, "shard", "doc_id", ("text_crc32", "size")).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("bigint").alias("slot"), "grown_shard")
