@@ -22,7 +22,7 @@ from .common import small_batches, summed_counts
 #: Shares of words that repeat the word before; each that a text passes is a term with a count of its own.
 REPEATS, REPEAT_COUNT = (0.08, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75), 100
 #: Hashed terms: words below, shapes above, then the repeats.
-WORDS, SHAPES = 3072, 1016
+WORDS, SHAPES = 1 << 16, 1016
 TERMS = WORDS + SHAPES + len(REPEATS)
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -64,12 +64,10 @@ class Terms(dict):
         """The terms of a text, ascending, and their counts."""
         words = text.encode().split() if text else []
         codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        a, b = np.divmod(codes, TERMS)
-        counts = np.bincount(a, minlength=TERMS) + np.bincount(b, minlength=TERMS)
+        found, counts = np.unique(np.concatenate(np.divmod(codes, TERMS)), return_counts=True)
         again = (codes[1:] == codes[:-1]).sum() / (len(codes) + 10)  # a short text's single repeat means little
-        counts[WORDS + SHAPES :] = REPEAT_COUNT * (again > np.array(REPEATS))
-        found = np.flatnonzero(counts)
-        return found, counts[found]
+        passed = np.flatnonzero(again > np.array(REPEATS))
+        return np.concatenate([found, WORDS + SHAPES + passed]), np.concatenate([counts, np.full(len(passed), REPEAT_COUNT)])
 
 
 def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -85,7 +83,7 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
         return take
 
-    total = summed_counts(docs.select("text"), 2 * TERMS, add)
+    total = summed_counts(docs.select("text"), 1 << (TERMS.bit_length()), add)
     return total[:TERMS], int(total[-1])
 
 
@@ -95,16 +93,42 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / n if n > 0 else x
 
 
-def latent(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, size: int, rounds: int = 6) -> np.ndarray:
-    """The first right singular vectors of the weighted term matrix, by subspace iteration from a fixed start."""
-    x = np.zeros((len(bags), TERMS), np.float32)
-    for row, (t, c) in zip(x, bags, strict=True):
-        row[t] = weigh(c, idf[t])
+def latent(bags: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, size: int, rounds: int = 3) -> np.ndarray:
+    """The first right singular vectors of the weighted term matrix, by subspace iteration from a fixed start.
+
+    The matrix is sparse: its entries by row, and again by term.
+    """
+    n = np.array([len(t) for t, _ in bags])
+    term = np.concatenate([t for t, _ in bags])
+    value = np.concatenate([weigh(c, idf[t]) for t, c in bags]).astype(np.float32)
+    row = np.repeat(np.arange(len(bags)), n)
+    by_term = np.argsort(term, kind="stable")
+    known, first = np.unique(term[by_term], return_index=True)
+    row_first = np.cumsum(n) - n
+    full = n > 0
+
+    def times(basis: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bags), basis.shape[1]), np.float32)
+        for c in range(0, basis.shape[1], 16):  # a few columns at a time bound the memory
+            out[full, c : c + 16] = np.add.reduceat(value[:, None] * basis[term, c : c + 16], row_first[full])
+        return out
+
+    def back(y: np.ndarray) -> np.ndarray:
+        out = np.zeros((TERMS, y.shape[1]), np.float32)
+        for c in range(0, y.shape[1], 16):
+            out[known, c : c + 16] = np.add.reduceat(value[by_term, None] * y[row[by_term], c : c + 16], first)
+        return out
+
     basis = np.random.default_rng(0).standard_normal((TERMS, size + 16)).astype(np.float32)
+    if not len(term):
+        return np.zeros((TERMS, size), np.float32)
     for _ in range(rounds):
-        basis = np.linalg.qr(x.T @ (x @ basis))[0].astype(np.float32)
-    _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
-    return np.ascontiguousarray((basis @ turn.T)[:, :size], np.float32)
+        basis = np.linalg.qr(back(times(basis)))[0].astype(np.float32)
+    _, _, turn = np.linalg.svd(times(basis), full_matrices=False)
+    out = np.zeros((TERMS, size), np.float32)
+    found = (basis @ turn.T)[:, :size]
+    out[:, : found.shape[1]] = found
+    return out
 
 
 class Voter:
@@ -130,7 +154,7 @@ class Voter:
             near = part @ self.vectors.T
             k = min(self.neighbours, near.shape[1])
             top = np.argpartition(near, -k, axis=1)[:, -k:]
-            weight = np.maximum(np.take_along_axis(near, top, 1).astype(np.float64), 0) ** 4
+            weight = np.maximum(np.take_along_axis(near, top, 1).astype(np.float64), 0)
             out.append(((weight * self.labels[top]).sum(1) + 1e-6 * mean) / (weight.sum(1) + 1e-6))
         return np.clip(np.concatenate(out), 0, 1) if out else np.empty(0)
 
