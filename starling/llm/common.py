@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import shared_dir, stored  # noqa: F401
+from ..sources.storage import new_path, scratch, stored  # noqa: F401
 
 #: White space that separates words, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
@@ -24,6 +24,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions so that each holds about so many bytes of df by Spark's own estimate, and at least the session's number."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(size // each, 200_000))
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{WHITE}]+"), "")
@@ -72,8 +78,15 @@ def shingles(ids: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 
 
 def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Arrow batches small enough that this many very long texts fit a Python worker, some times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches small enough that this many very long texts fit a Python worker, some times over.
+
+    The setting is the session's and is read when a result runs, so it only ever goes down: what an operator asked for
+    holds whatever is called before its result runs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
 
 
 def bit_table(keys: DataFrame, key: str, bits: int, slice_bits: int = 8) -> np.ndarray:
@@ -95,7 +108,7 @@ def bit_table(keys: DataFrame, key: str, bits: int, slice_bits: int = 8) -> np.n
     # every slice is made by one task, so that each reaches the driver once
     spread = keys.select(key).repartition(F.col(key).bitwiseAND(low))
     table = np.zeros((1 << slice_bits, 1 << (bits - slice_bits - 3)), np.uint8)
-    for r in spread.mapInPandas(build, "slice int, image binary").toLocalIterator():
+    for r in spread.mapInPandas(build, "slice int, image binary").collect():  # 2**slice_bits rows, of fixed size together
         table[r["slice"]] = np.frombuffer(r["image"], np.uint8)
     return table
 
@@ -111,7 +124,7 @@ def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def summed_counts(rows: DataFrame, size: int, add: Callable[[np.ndarray], Callable[[pd.DataFrame], None]], slices: int = 256) -> np.ndarray:
     """The sum over all tasks of ``size`` counters. add(counters) gives what counts a frame; the result is bounded by size.
 
-    Each task sends its counters once, cut into slices, and every slice is summed as it streams by.
+    Each task sends its counters once, cut into slices (those of zeros not), and every slice is summed by one task.
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,17 +132,24 @@ def summed_counts(rows: DataFrame, size: int, add: Callable[[np.ndarray], Callab
         take = add(total)
         for f in frames:
             take(f)
-        yield pd.DataFrame({"slice": range(slices), "counts": [x.tobytes() for x in np.split(total, slices)]})
+        kind = np.uint32 if total.max(initial=0) < 2**32 else np.int64
+        parts = [(s, x.astype(kind).tobytes()) for s, x in enumerate(np.split(total, slices)) if x.any()]
+        yield pd.DataFrame(parts, columns=["slice", "counts"])
+
+    width = size // slices
+
+    def counters(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, np.uint32 if len(x) == 4 * width else np.int64).astype(np.int64)
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[int, np.ndarray] = {}
         for f in frames:
             for s, x in zip(f["slice"], f["counts"], strict=True):
-                own[s] = own.get(s, 0) + np.frombuffer(x, np.int64)
+                own[s] = own.get(s, 0) + counters(x)
         for s, x in own.items():
             yield pd.DataFrame({"slice": [s], "counts": [x.tobytes()]})
 
     schema, total = "slice int, counts binary", np.zeros(size, np.int64)
-    for r in rows.mapInPandas(count, schema).repartition("slice").mapInPandas(merge, schema).toLocalIterator():
-        total[r["slice"] * size // slices :][: size // slices] += np.frombuffer(r["counts"], np.int64)
+    for r in rows.mapInPandas(count, schema).repartition("slice").mapInPandas(merge, schema).collect():  # size counters together
+        total[r["slice"] * width :][:width] += np.frombuffer(r["counts"], np.int64)
     return total

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, bit_table, has_bit, mix, shingles, small_batches, stored, summed_counts
+from .common import WordIds, bit_table, has_bit, mix, scratch, shingles, small_batches, stored, summed_counts
 from ..operators.graph import components
 
 SKETCH_BITS = 20
@@ -93,6 +93,7 @@ def verified(pairs: DataFrame, rows: DataFrame, words: int, num: int, den: int,
 
     members = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInPandas(build, "doc_id bigint, members binary")
     members = stored(members.join(ids, "doc_id", "left_semi"))
+    table.destroy()
     one, two = members.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), members.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,6 +135,7 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
             yield result
 
     all_ = stored(rows.select("doc_id", "text").mapInPandas(features, "doc_id bigint, n bigint, k1 bigint, k2 bigint, l int, prefix array<bigint>"))
+    given.destroy()
     # stored, like other aggregates that are joined back: a join of two plain shuffles can be split where one key is hot
     reps = stored(all_.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     docs = all_.select("doc_id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
@@ -153,6 +155,7 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
 
     found = all_.where("n > 0").mapInPandas(common, "doc_id bigint, n bigint, k1 bigint, k2 bigint, l int, p int, at int, token bigint")
     postings = stored(found.join(reps, ["n", "k1", "k2"]).where("doc_id = rep").select("rep", "n", "l", "p", "at", "token").dropDuplicates(["rep", "token"]))
+    table.destroy()
     shared = stored(postings.groupBy("token").count().where("count > 1").select("token"))
     # tokens of a rep that others have too, in order; at most a prefix each. "at" counts in the prefix, "nth" among these
     own = postings.join(shared, "token").groupBy("rep", "n", "l", "p").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("tokens"))
@@ -187,6 +190,16 @@ def similar_links(rows: DataFrame, words: int, num: int, den: int, most: int = 4
     return docs, near.unionByName(verified(rest, rows, words, num, den))
 
 
+def classes(rows: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Of rows (doc_id, text) without nulls: doc_id, n_shingles, component_id. Intermediate tables are deleted."""
+    small_batches(rows.sparkSession)
+    with scratch(rows.sparkSession) as keep:
+        each, links = similar_links(rows, words, num, den)
+        part = components(links).select(F.col("id").alias("rep"), "component")
+        out = each.join(part, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        return keep(out)
+
+
 def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, the smallest doc_id reachable by links.
 
@@ -195,15 +208,33 @@ def similar_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     doc_id count as one document; null doc_ids link with nothing and have a null component; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    each, links = similar_links(rows, words, num, den)
-    part = components(links).select(F.col("id").alias("rep"), "component")
-    out = each.join(part, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    none = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("n_shingles"), F.lit(None).cast("bigint").alias("component_id"))
-    return out.unionByName(none)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    out = classes(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), text), words, num, den)
+
+    def sizes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = Sets(words)
+        for f in frames:
+            yield pd.DataFrame({"n_shingles": [len(sets.of(t)) for t in f["text"]]})
+
+    unknown = F.lit(None).cast("bigint")
+    none = docs.where("doc_id IS NULL").select(text).mapInPandas(sizes, "n_shingles bigint")
+    return out.unionByName(none.select(unknown.alias("doc_id"), "n_shingles", unknown.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each class, the one with the smallest doc_id; all columns stay. Null doc_ids stay."""
-    part = similar_classes(docs, words, num, den).where("doc_id <> component_id").select("doc_id")
-    return docs.join(part, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each class of similar texts, that with the smallest doc_id; all columns stay.
+
+    A row whose doc_id is null goes by a number made of its text, over all doc_ids' (so it stays only where no row with
+    a doc_id is like it). Of rows with one doc_id and one text one stays; rows with one doc_id and different texts are
+    one document and stay or go together. Texts without words are like nothing and stay, but for such exact repeats.
+    """
+    spark = docs.sparkSession
+    key, text = F.coalesce(F.col("doc_id").cast("bigint"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)), F.xxhash64("text")
+    keyed = docs.withColumns({"__key": key, "__text": text})
+    with scratch(spark) as keep:
+        part = classes(keyed.select(F.col("__key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), words, num, den)
+        gone = keep(part.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct())
+        again = keep(keyed.groupBy("__key", "__text").count().where("count > 1").select("__key", "__text"))
+    left = keyed.join(gone, "__key", "left_anti")
+    first = left.join(again, ["__key", "__text"], "left_semi").dropDuplicates(["__key", "__text"])
+    return left.join(again, ["__key", "__text"], "left_anti").unionByName(first).select(*docs.columns)
