@@ -41,8 +41,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048, as pieces of documents with their places."""
-    return pack_documents(docs)
+    """Token sequences of at most 2048, as pieces of documents with their ids and places."""
+    return pack_documents(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
