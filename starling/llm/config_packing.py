@@ -189,13 +189,14 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, with_id
     return rows.mapInPandas(cut, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def ranked(rows: DataFrame, counts: np.ndarray, most: int = 200_000) -> DataFrame:
+def ranked(rows: DataFrame, counts: np.ndarray, most: int = 64 << 20) -> DataFrame:
     """rows with ``rank``: gapless from 0 among pieces of one length. counts: how many there are of each length.
 
-    A length may hold most rows, so it is cut into salts of about ``most`` rows, whose counts give first ranks: a row of
-    a few bytes for each length and each ``most`` rows is broadcast.
+    A length may hold most rows, so it is cut into salts of about ``most`` bytes, whose counts give first ranks: a row of
+    a few bytes for each length and each ``most`` bytes of pieces is broadcast.
     """
-    salts = F.lit((1 + counts // most).tolist())
+    each = 64 + 4 * np.arange(len(counts)) * ("ids" in rows.columns)
+    salts = F.lit((1 + counts * each // most).tolist())
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("length", "__salt").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
