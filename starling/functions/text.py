@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: Emoji blocks that are stripped (fixed values).
 EMOJI = r"[\x{2600}-\x{27BF}\x{1F300}-\x{1F64F}\x{1F680}-\x{1F6FF}]"
-#: A latitude with six decimals, then a longitude with six or more (fixed value).
-COORDINATES = r"([-+]?\d{1,2}\.\d{6})\s*,\s*([-+]?\d{1,2}\.\d{6})"
-#: Two or three lower-case letters before a space, a slash or the end (fixed value).
-TLD = r"\.([a-z]{2,3})(?=[ /]|$)"
+#: A latitude and a longitude with six decimals (fixed value).
+COORDINATES = r"(-?\d{1,2}\.\d{6})\s?,\s?(-?\d{1,2}\.\d{6})"
+#: Two or three lower-case letters before white space, a slash or the end; the group may be missing (fixed value).
+TLD = r"[^\s\/](?:\.([a-z]{2,3}))?(?:\s|\/|$)"
 #: A domain, with its scheme left out (fixed value); group 2 is the domain.
 DOMAIN = r"(https?:\/\/)?([\da-z\.-]+\.[a-z\.]{2,6})([\/\w\.-]*)\/?"
 #: United States zones and their codes (fixed values).
@@ -29,7 +29,7 @@ def coordinates(text: Column) -> Column:
 
 
 def top_level_domains(url: Column) -> Column:
-    return F.regexp_extract_all(url, F.lit(TLD), F.lit(1))
+    return F.array_remove(F.regexp_extract_all(url, F.lit(TLD), F.lit(1)), "")
 
 
 def domains(text: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -173,7 +173,9 @@ def detect(rows: DataFrame, params: Params = Params(), max_lat: float = 60.0) ->
             if r.prev_ts == r.prev_ts:
                 fold.expire(r.prev_ts)
             fold.process(int(r.id), r.ts, (r.lat, r.lon), int(r.required))
-        fold.expire(f["end"].iloc[0])
+        end = f["end"].iloc[0]
+        fold.expire(end)
+        fold.parked = [m for m in fold.parked if end - m[1] <= params.timediff]  # the stream moved on elsewhere
         out = rows_of(fold)
         out.insert(0, "shard", key[0])
         return out
@@ -181,6 +183,44 @@ def detect(rows: DataFrame, params: Params = Params(), max_lat: float = 60.0) ->
     return rows.groupBy("shard").applyInPandas(run, f"shard bigint, {SCHEMA}")
 
 
+@dataclass(frozen=True)
+class EventDetection:
+    """Population-aware detection as one operator: where the coordinates are, how many messages make an event, and Params.
+
+    Exactly one of popfunc, a function (lon, lat) -> Column, and popmap, a population raster (row, col, value) with its
+    grid. field: an array or struct path that holds (lat, lon); swap_axes where it holds (lon, lat).
+    """
+
+    field: str = "geo.coordinates"
+    tsfield: str = "ts"
+    key: str = "id"
+    popfunc: Callable[[Column, Column], Column] | None = None
+    popmap: DataFrame | None = None
+    grid: dict | None = None
+    mincount: int = 10
+    mediancount: int = 30
+    params: Params = Params()
+
+    def __post_init__(self) -> None:
+        if (self.popfunc is None) == (self.popmap is None):
+            raise TypeError("give either popfunc or popmap")
+
+    def located(self, rows: DataFrame) -> DataFrame:
+        """(id, ts, lat, lon) of messages that have both a place and a time."""
+        place = F.col(self.field)
+        a, b = (1, 0) if self.params.swap_axes else (0, 1)
+        rows = rows.select(F.col(self.key).alias("id"), F.col(self.tsfield).alias("ts"), place[a].cast("double").alias("lat"), place[b].cast("double").alias("lon"))
+        return rows.na.drop()
+
+    def messages(self, rows: DataFrame) -> DataFrame:
+        """located() with ``required``; rows outside the raster have none and are no part of any event."""
+        return with_required(self.located(rows), self.popfunc, self.popmap, self.grid, self.mincount, self.mediancount)
+
+    def run(self, rows: DataFrame, max_lat: float = 60.0) -> DataFrame:
+        """Clusters and unclustered messages, as detect() gives them."""
+        return detect(self.messages(rows), replace(self.params, swap_axes=False), max_lat)
+
+
 def serial(messages: Iterator[tuple], params: Params) -> Fold:
     """All messages (id, time, place, required), in order, in one fold: what detect() must agree with."""
     fold = Fold(params)

@@ -46,6 +46,18 @@ def step(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return medoids(near, "user")
 
 
+def infer(mentions: DataFrame, geotags: DataFrame, user: int, test: bool = False, least_mentions: int = 3, depth: int = 3, least_locations: int = 1, rounds: int = 4) -> DataFrame:
+    """Where a user is, by the labels of the mention network around them: (user, lat, lon, km, iteration), or no row.
+
+    mentions (src, dst, cnt), geotags (user, lat, lon). In a test the user's own geotags are hidden.
+    """
+    edges = mutual(mentions, least_mentions)
+    near = stored(network(edges, user, depth).select("user"))
+    inside = edges.join(near.select(F.col("user").alias("src")), "src", "left_semi").join(near.select(F.col("user").alias("dst")), "dst", "left_semi")
+    found = propagate(inside, seeds(geotags.join(near, "user", "left_semi"), least_locations, user if test else None), rounds, user)
+    return found.where(F.col("user") == user)
+
+
 def propagate(edges: DataFrame, labels: DataFrame, rounds: int, key: int | None = None) -> DataFrame:
     """(user, lat, lon, km, iteration): seeds at 0, then at most ``rounds`` steps; it stops when the key user has a
     label or a step labels nobody. Every step is stored, so plans don't grow."""

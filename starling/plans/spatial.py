@@ -114,11 +114,6 @@ def pop_cell_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return population(spark).select("row", "col", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query(f"WITH {POPULATION_SQL} SELECT row, col, value FROM population")
-def popmap_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return population(spark)
-
-
 @query(f"WITH {POPULATION_SQL} SELECT min(value) AS x1, median(value) AS x2, count(*) AS n FROM population WHERE value <> -9999 AND row BETWEEN 10 AND 50 AND col BETWEEN 10 AND 60")
 def pop_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = population(spark).where("value <> -9999 AND row BETWEEN 10 AND 50 AND col BETWEEN 10 AND 60")
@@ -273,11 +268,6 @@ def tld_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(countries(spark, sf_dir), "tld").select("page_id", F.col("name").alias("country"))
 
 
-@query(f"WITH {AREAS_SQL}, {COUNTRIES_SQL} SELECT tld AS code, trim(' ' || name) AS country FROM countries")
-def tld_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return countries(spark, sf_dir).select(F.col("tld").alias("code"), F.trim(F.concat(F.lit(" "), F.col("name"))).alias("country"))
-
-
 @query(f"WITH {AREAS_SQL} SELECT area_id, CAST(4 AS INTEGER) AS corners, x0 AS first_x, y1 AS last_y FROM areas")
 def parse_polys(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lambda c: F.col(c).cast("string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import configparser
 from dataclasses import dataclass, field, fields
 
+from pyspark.sql import SparkSession
+
 from ..operators.evidence import WEIGHTS
 
 
@@ -36,12 +38,19 @@ class Settings:
     detection: Detection = Detection()
 
 
-def load(path: str) -> Settings:
+def load(path: str, spark: SparkSession | None = None) -> Settings:
+    """Settings of a local file or, with a session, of any path that Spark can read."""
+    if spark is not None:
+        return loads(spark.read.text(path, wholetext=True).first()[0])
+    with open(path) as f:
+        return loads(f.read())
+
+
+def loads(text: str) -> Settings:
     """Sections multiindicator (weights by name), slp and events; what is absent keeps its default, unknown keys are errors."""
     given = configparser.ConfigParser()
     given.optionxform = str
-    with open(path) as f:
-        given.read_file(f)
+    given.read_string(text)
 
     def part(kind: type, section: str):
         own = dict(given[section]) if given.has_section(section) else {}

@@ -25,6 +25,16 @@ def polygons(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.schema(schema).json(path).withColumn("poly", rings(F.col("poly")))
 
 
+def random_row(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """One row of all, the same for the same seed: that with the least hash of key and seed. A partial top-1, no sort."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), key).limit(1)
+
+
+def clusters(spark: SparkSession, path: str) -> DataFrame:
+    """Clusters as sinks.clusters has written them."""
+    return spark.read.parquet(path)
+
+
 def user_profiles(messages: DataFrame) -> DataFrame:
     """(user, mentions map, locations) of messages (id, user, mentioned ids, lat, lon), each message counted once."""
     messages = messages.dropDuplicates(["id"])

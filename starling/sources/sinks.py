@@ -21,6 +21,22 @@ def clusters(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("status").parquet(path)
 
 
+def dimension(rows: DataFrame, path: str, key: str, files: int = 1) -> None:
+    """A dimension table, dealt by key into so many files and sorted in each, so that footers prune a lookup by key."""
+    rows.repartitionByRange(files, key).sortWithinPartitions(key).write.parquet(path)
+
+
+def bucketed(rows: DataFrame, name: str, key: str, buckets: int) -> None:
+    """A table bucketed and sorted by key: joins and lookups on it need no shuffle."""
+    rows.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(name)
+
+
+def unique(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with one to each key, the first by order: what a unique index would have let in. Nulls are a key like others."""
+    fields = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("__first")).select(key, "__first.*").select(*rows.columns)
+
+
 def updated(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """rows with the columns of new (but the key) where new has the key; other rows keep theirs, or null."""
     fields = [c for c in new.columns if c != key]

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from starling.plans import analytics, events, inference, spatial  # noqa: F401
+from starling.plans import analytics, events, inference, services, spatial  # noqa: F401
 from starling.plans.registry import QUERIES, SQL
 from tests.twins import check, connection
 
