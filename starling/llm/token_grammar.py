@@ -68,7 +68,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30,
     """Symbols, rules (n, 2) and end marks. ends marks the last id of each document; nonterminals count from first.
 
     Rounds follow each other until no pair occurs twice or there are ``most`` rules; a round's pairs are at least a
-    sixth as frequent as its first. Symbols are linked, not moved. A pair that occurs once never occurs again, as new
+    thirtieth as frequent as its first. Symbols are linked, not moved. A pair that occurs once never occurs again, as new
     pairs hold new symbols only, so a round looks at places whose pair occurred twice in the last one or is new. More than
     ``hashed`` of them are counted by hash as long as that finds any to replace, else exactly.
     """
@@ -93,7 +93,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30,
         h, n = _codes(a, b, out, turn, exact)
         totals = np.bincount(h, minlength=n + 1)
         totals[n] = 0
-        bar = max(2, int(totals.max()) // 6)  # the most frequent first
+        bar = max(2, int(totals.max()) // 30)  # the most frequent first
         while True:
             some = np.flatnonzero((totals >= bar)[h])
             hs, aa, bb = h[some], a[some], b[some]
