@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,12 +64,24 @@ def allocated(rows: DataFrame, order: list[str], parts: int, block: Column) -> D
 
 
 def smoothed(series: DataFrame, keys: list[str], order: str, value: str, alpha: float) -> DataFrame:
-    """(keys, order, value, ewma): x * alpha + last * (1 - alpha) along each key's order, from 0."""
-    rows = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("xs"))
+    """(keys, order, value, ewma): x * alpha + last * (1 - alpha) along each key's order, from 0.
+
+    In closed form: inside blocks of rows it is a running sum of x / (1 - alpha)**place, scaled back; blocks are short
+    enough that the powers stay below 1e15. Only one row for each block is folded in order.
+    """
+    keep = 1 - alpha
+    size = max(2, min(4096, int(-15 / math.log10(keep)))) if 0 < keep < 1 else 4096
+    rows = series.select(*keys, order, value).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    rows = rows.withColumns({"__b": F.floor(F.col("__n") / size), "__p": F.pow(F.lit(float(keep)), (F.col("__n") % size).cast("double"))})
+    inside = Window.partitionBy(*keys, "__b").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.sum(F.col(value) * alpha / F.col("__p")).over(inside) * F.col("__p"))
+    ends = rows.groupBy(*keys, "__b").agg(F.max_by("__own", "__n").alias("own"), (F.max_by("__p", "__n") * keep).alias("keep"))
+    lists = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__b", "own", "keep"))).alias("ends"))
     start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
-    fold = F.aggregate("xs", start, lambda a, x: F.struct((x[value] * F.lit(alpha) + a["last"] * F.lit(1 - alpha)).alias("last"), F.concat(a["out"], F.array(x[value] * F.lit(alpha) + a["last"] * F.lit(1 - alpha))).alias("out")))["out"]
-    zipped = rows.select(*keys, F.explode(F.arrays_zip(F.col("xs").alias("x"), fold.alias("e"))).alias("z"))
-    return zipped.select(*keys, F.col(f"z.x.{order}").alias(order), F.col(f"z.x.{value}").alias(value), F.col("z.e").alias("ewma"))
+    before = F.aggregate("ends", start, lambda a, x: F.struct((x["own"] + a["last"] * x["keep"]).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out")))["out"]
+    before = lists.select(*keys, F.posexplode(before).alias("__b", "__last"))
+    rows = rows.join(before.withColumn("__b", F.col("__b").cast("bigint")), [*keys, "__b"])
+    return rows.select(*keys, order, value, (F.col("__own") + F.col("__last") * F.col("__p") * keep).alias("ewma"))
 
 
 def top_each(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:

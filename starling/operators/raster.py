@@ -33,23 +33,25 @@ def covered(evidence: DataFrame, scale: float | str, bounds: bool = False) -> Da
     """Rows (key, indicator, weight, gx, gy): the cells of each polygon of evidence (key, indicator, ring, weight).
 
     scale: cells to a degree, a number or a column. bounds: keep to columns bx0, by0, bx1, by1 of the rows. Many rows
-    share a polygon (a country's, a zone's), so each ring is rasterised once for each scale, then joined.
+    share a polygon (a country's, a zone's), so each ring is rasterised once for each scale and box, inside the box, then
+    joined.
     """
     s = F.col(scale) if isinstance(scale, str) else F.lit(float(scale))
     evidence = evidence.withColumns({"__s": s.cast("double"), "__r": F.xxhash64("ring")})
     column = lambda x: F.floor((x + 180) * F.col("__s")).cast("int")
     row = lambda y: F.floor((F.lit(90) - y) * F.col("__s")).cast("int")
-    e = evidence.groupBy("__r", "__s").agg(F.first("ring").alias("ring"))
+    shape = ["__r", "__s", *(["bx0", "by0", "bx1", "by1"] if bounds else [])]
+    e = evidence.groupBy(*shape).agg(F.first("ring").alias("ring"))
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     e = e.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
-    e = e.withColumn("gx", F.explode(F.sequence(column(F.col("x0")), column(F.col("x1"))))).withColumn("gy", F.explode(F.sequence(row(F.col("y1")), row(F.col("y0")))))
+    most = lambda f, *cs: f(*[F.col(c) for c in cs]) if bounds else F.col(cs[0])
+    span = lambda a, b: F.explode(F.when(a <= b, F.sequence(a, b)))
+    e = e.withColumn("gx", span(column(most(F.greatest, "x0", "bx0")), column(most(F.least, "x1", "bx1"))))
+    e = e.withColumn("gy", span(row(most(F.least, "y1", "by1")), row(most(F.greatest, "y0", "by0"))))
     lon, lat = cell_corner(F.col("gx") + 0.5, F.col("gy") + 0.5, F.col("__s"))
     corner = lambda p: (column(p["x"]) == F.col("gx")) & (row(p["y"]) == F.col("gy"))
-    cells = e.where(geo.inside(lon, lat, F.col("ring")) | F.exists("ring", corner)).select("__r", "__s", "gx", "gy")
-    out = evidence.drop("ring").join(cells, ["__r", "__s"])
-    if bounds:
-        out = out.where(F.col("gx").between(column(F.col("bx0")), column(F.col("bx1"))) & F.col("gy").between(row(F.col("by1")), row(F.col("by0"))))
-    return out.drop("__r", "__s")
+    cells = e.where(geo.inside(lon, lat, F.col("ring")) | F.exists("ring", corner)).select(*shape, "gx", "gy")
+    return evidence.drop("ring").join(cells, shape).drop("__r", "__s")
 
 
 def stacked(cells: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -81,6 +83,7 @@ def infer(evidence: DataFrame, coarse: float = 0.5, share: float = 0.75) -> Data
     Keys with the same evidence (people of one zone, country and so on) have the same answer, so only the first of
     them is worked out, and the others are given its cells. Sameness is of a 64-bit and a 128-bit hash of the sorted evidence.
     """
+    evidence = stored(evidence)  # read twice below, and it may be many joins
     facts = F.sort_array(F.collect_list(F.struct("indicator", F.xxhash64("ring").alias("a"), F.hash("ring").alias("b"), "weight")))
     same = evidence.groupBy("key").agg(facts.alias("facts")).select("key", F.xxhash64("facts").alias("s"), F.md5(F.to_json("facts")).alias("t"))
     first = same.groupBy("s", "t").agg(F.min("key").alias("first"))

@@ -61,14 +61,14 @@ def geo_vincenty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).select("event_id", F.round(geo.vincenty(F.col("lat"), F.col("lon"), F.lit(51.5), F.lit(-0.12)), 4).alias("km"))
 
 
-def _shoot_sql(steps: int = geo.STEPS) -> str:
+def _shoot_sql(steps: int = geo.STEPS, source: str = "messages", key: str = "event_id", azimuth: str = "(event_id % 360)::DOUBLE", km: float = 10.0) -> str:
     f, a = f"{geo.FLATTENING!r}::DOUBLE", geo.SHOOT_MAJOR
     b = a * (1 - geo.FLATTENING)
     parts = [
-        f"p0 AS (SELECT event_id, radians(lon) AS lon0, sin(atan(tan(radians(lat)) * (1 - {f}))) AS su, cos(atan(tan(radians(lat)) * (1 - {f}))) AS cu, tan(atan(tan(radians(lat)) * (1 - {f}))) AS tu, sin(radians((event_id % 360)::DOUBLE)) AS sb, cos(radians((event_id % 360)::DOUBLE)) AS cb FROM messages)",
+        f"p0 AS (SELECT {key}, radians(lon) AS lon0, sin(atan(tan(radians(lat)) * (1 - {f}))) AS su, cos(atan(tan(radians(lat)) * (1 - {f}))) AS cu, tan(atan(tan(radians(lat)) * (1 - {f}))) AS tu, sin(radians({azimuth})) AS sb, cos(radians({azimuth})) AS cb FROM {source})",
         f"p1 AS (SELECT *, cu * sb AS sa, 1 - cu * sb * (cu * sb) AS c2, atan2(tu, cb) AS first FROM p0)",
         f"p2 AS (SELECT *, c2 * {(a**2 - b**2) / b**2!r}::DOUBLE AS uu FROM p1)",
-        f"p3 AS (SELECT *, 10.0::DOUBLE / ({b!r}::DOUBLE * (1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))))) AS base, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS small FROM p2)",
+        f"p3 AS (SELECT *, {km!r}::DOUBLE / ({b!r}::DOUBLE * (1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))))) AS base, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) AS small FROM p2)",
         "s0 AS (SELECT *, base AS arc FROM p3)",
     ]
     for k in range(1, steps + 1):
@@ -76,7 +76,7 @@ def _shoot_sql(steps: int = geo.STEPS) -> str:
     parts += [
         f"t0 AS (SELECT *, sin(arc) AS sn, cos(arc) AS cs, cos(2 * first + arc) AS mid, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS c FROM s{steps})",
         f"t1 AS (SELECT *, su * cs + cu * sn * cb AS up, su * sn - cu * cs * cb AS aside, atan2(sn * sb, cu * cs - su * sn * cb) - (1 - c) * {f} * sa * (arc + c * sn * (mid + c * cs * (2 * mid * mid - 1))) AS gone FROM t0)",
-        f"t2 AS (SELECT event_id, degrees(lon0 + gone) AS east, degrees(atan2(up, (1 - {f}) * sqrt(sa * sa + aside * aside))) AS lat, degrees(atan2(sa, -aside)) + 180 AS back FROM t1)",
+        f"t2 AS (SELECT {key}, degrees(lon0 + gone) AS east, degrees(atan2(up, (1 - {f}) * sqrt(sa * sa + aside * aside))) AS lat, degrees(atan2(sa, -aside)) + 180 AS back FROM t1)",
     ]
     return ", ".join(parts)
 
@@ -87,7 +87,10 @@ def geo_shoot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"), F.round("p.back", 4).alias("back"))
 
 
-@query()
+_CIRCLE_SQL = _shoot_sql(source="(SELECT area_id, CAST(k AS INTEGER) AS k, x0 AS lon, y0 AS lat FROM areas, range(361) t(k))", key="area_id, k", azimuth="(k % 360)::DOUBLE", km=25.0)
+
+
+@query(f"WITH {AREAS_SQL}, {_CIRCLE_SQL} SELECT area_id, k, round(east - floor((east + 180) / 360) * 360, 6) AS x, round(lat, 6) AS y FROM t2")
 def geo_circle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = areas(spark, sf_dir).select("area_id", F.posexplode(geo.geodesic_circle(F.col("x0"), F.col("y0"), F.lit(25.0))).alias("k", "p"))
     return rows.select("area_id", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
