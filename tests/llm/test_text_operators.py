@@ -64,7 +64,7 @@ def test_classes_of_odd_rows(odd, none):
     assert all(r.component_id is None for r in got if r.doc_id is None)
     assert similar_classes(none).count() == 0
     kept = one_of_each(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id IS NULL").count() == 2
+    assert kept.columns == odd.columns and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id IS NULL").count() == 1  # the other one is like document 5
 
 
 def test_prefixes_share_enough():
@@ -255,5 +255,5 @@ def test_votes_are_exact_cosines():
     for k in range(10):
         near = voter.vectors.astype(float) @ voter.vectors[k].astype(float)
         top = np.argsort(-near)[:7]
-        weight = np.maximum(near[top], 0) ** 4
+        weight = np.maximum(near[top], 0)
         assert got[k] == pytest.approx((weight * voter.labels[top]).sum() / weight.sum(), abs=1e-3)
