@@ -196,7 +196,8 @@ def ranked(rows: DataFrame, counts: np.ndarray, most: int = 64 << 20) -> DataFra
     a few bytes for each length and each ``most`` bytes of pieces is broadcast.
     """
     each = 64 + 4 * np.arange(len(counts)) * ("ids" in rows.columns)
-    salts = F.lit((1 + counts * each // most).tolist())
+    few = np.minimum(16, 1 + counts // 256)  # a length that many pieces share never waits for one task
+    salts = F.lit(np.maximum(few, 1 + counts * each // most).tolist())
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), salts[F.col("length").cast("int")]))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("length", "__salt").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
