@@ -204,10 +204,21 @@ sums AS (SELECT key, scale, gx, gy, sum(weight) AS weight FROM kept GROUP BY ALL
 answer AS (SELECT * FROM (SELECT *, max(weight) OVER (PARTITION BY key) AS best FROM sums) WHERE weight >= best * 0.75 - 1e-9)"""
 
 
+def answers(evidence: DataFrame) -> DataFrame:
+    tops = ra.infer(evidence)
+    return tops.groupBy("key", "scale").agg(F.count("*").alias("cells"), F.min("gx").alias("gx"), F.min("gy").alias("gy"), F.round(F.max("best") * 0.75, 6).alias("weight"))
+
+
 @query(f"WITH {FINE_SQL} SELECT key, scale, count(*) AS cells, CAST(min(gx) AS INTEGER) AS gx, CAST(min(gy) AS INTEGER) AS gy, round(max(best) * 0.75, 6) AS weight FROM answer GROUP BY ALL")
+def mi_infer_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inference over the evidence that SQL can say too."""
+    return answers(united(spark, sf_dir))
+
+
+@query()
 def mi_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tops = ra.infer(united(spark, sf_dir))
-    return tops.groupBy("key", "scale").agg(F.count("*").alias("cells"), F.min("gx").alias("gx"), F.min("gy").alias("gy"), F.round(F.max("best") * 0.75, 6).alias("weight"))
+    """The inference over all evidence that profiles have."""
+    return answers(whole(spark, sf_dir))
 
 
 @query()
@@ -229,33 +240,34 @@ def density_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- label propagation -----------------------------------------------------------------------
 
-LEAST = 3
-#: Friends are who mention each other and have close numbers: mentions alone make the network complete.
-EDGES_SQL = f"{MENTIONS_SQL}, edges AS (SELECT a.src, a.dst FROM mentions a JOIN mentions b ON a.src = b.dst AND a.dst = b.src WHERE a.cnt >= {LEAST} AND b.cnt >= {LEAST} AND abs(a.src - a.dst) <= 2)"
-TAGS_SQL = "tags AS (SELECT user_id % 60 AS \"user\", round(lat, 2) AS lat, round(lon, 2) AS lon FROM messages WHERE has_geo AND user_id % 60 % 4 = 0)"
-
-
+#: Mentions in each direction that make two users friends, geotags that make a user a seed, rounds at most.
+LEAST, LEAST_TAGS, ROUNDS = 3, 60, 10
+EDGES_SQL = f"{MENTIONS_SQL}, edges AS MATERIALIZED (SELECT a.src, a.dst FROM mentions a JOIN mentions b ON a.src = b.dst AND a.dst = b.src WHERE a.cnt >= {LEAST} AND b.cnt >= {LEAST})"
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lp.mutual(mentions(spark, sf_dir), LEAST).where("abs(src - dst) <= 2").select("src", "dst")
+    return lp.mutual(mentions(spark, sf_dir), LEAST).select("src", "dst")
 
 
-def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Geotags to two places. Every fourth user shares a location; the others are who propagation is for."""
-    rows = messages(spark, sf_dir).where("geo IS NOT NULL AND user_id % 60 % 4 = 0")
-    return rows.select((F.col("user_id") % 60).alias("user"), F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon"))
+def seeded(spark: SparkSession, sf_dir: str, least: int = LEAST_TAGS) -> DataFrame:
+    tags = messages(spark, sf_dir).where("geo IS NOT NULL").select(F.col("user_id").alias("user"), "lat", "lon")
+    return lp.seeds(tags, least)
 
 
 def _medoid_sql(points: str, out: str) -> str:
     km = geo.haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
     return f"""{out}_p AS (SELECT "user", lat, lon, count(*) AS n FROM {points} GROUP BY ALL), {out}_s AS (SELECT a."user", a.lat, a.lon, round(sum(b.n * {km}), 5) AS km FROM {out}_p a JOIN {out}_p b ON a."user" = b."user" GROUP BY ALL),
-{out} AS (SELECT "user", m.lat AS lat, m.lon AS lon, m.km AS km FROM (SELECT "user", min(struct_pack(km := km, lat := lat, lon := lon)) AS m FROM {out}_s GROUP BY "user"))"""
+{out} AS MATERIALIZED (SELECT "user", m.lat AS lat, m.lon AS lon, m.km AS km FROM (SELECT "user", min(struct_pack(km := km, lat := lat, lon := lon)) AS m FROM {out}_s GROUP BY "user"))"""
 
 
 def _step_sql(old: str, out: str) -> str:
     return f"{out}_n AS (SELECT e.src AS \"user\", l.lat, l.lon FROM edges e JOIN {old} l ON l.\"user\" = e.dst WHERE e.src NOT IN (SELECT \"user\" FROM {old})), {_medoid_sql(out + '_n', out)}"
 
 
-SEEDS_SQL = f"{MESSAGES_SQL}, {EDGES_SQL}, {TAGS_SQL}, {_medoid_sql('tags', 'seeds')}"
+def seeds_sql(least: int) -> str:
+    tags = f'SELECT * FROM (SELECT user_id AS "user", lat, lon, count(*) OVER (PARTITION BY user_id) AS own FROM messages WHERE has_geo) WHERE own >= {least}'
+    return f"{MESSAGES_SQL}, {EDGES_SQL}, tags AS MATERIALIZED ({tags}), {_medoid_sql('tags', 'seeds')}"
+
+
+SEEDS_SQL = seeds_sql(LEAST_TAGS)
 
 
 @query(f"WITH {EDGES_SQL} SELECT DISTINCT src, dst FROM edges")
@@ -265,7 +277,7 @@ def slp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SEEDS_SQL} SELECT \"user\", lat, lon, round(km, 3) AS km FROM seeds")
 def slp_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lp.seeds(tags(spark, sf_dir), 1).withColumn("km", F.round("km", 3))
+    return seeded(spark, sf_dir).withColumn("km", F.round("km", 3))
 
 
 @query(f"""WITH {EDGES_SQL}, l0 AS (SELECT 1::BIGINT AS "user", 0 AS depth), l1 AS (SELECT DISTINCT dst AS "user", 1 AS depth FROM edges WHERE src = 1),
@@ -278,20 +290,23 @@ def slp_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SEEDS_SQL}, {_step_sql('seeds', 'one')} SELECT \"user\", lat, lon, round(km, 3) AS km FROM one")
 def slp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lp.step(lp.symmetric(edges(spark, sf_dir)), lp.seeds(tags(spark, sf_dir), 1)).withColumn("km", F.round("km", 3))
+    return lp.step(lp.symmetric(edges(spark, sf_dir)), seeded(spark, sf_dir)).withColumn("km", F.round("km", 3))
 
 
-_full = f"{SEEDS_SQL}, {_step_sql('seeds', 'one')}, upto AS (SELECT * FROM seeds UNION ALL SELECT * FROM one), {_step_sql('upto', 'two')}"
+_full, _all = SEEDS_SQL, "SELECT *, 0 AS iteration FROM seeds"
+for _i in range(1, ROUNDS + 1):
+    _full += f", l{_i} AS MATERIALIZED ({_all}), {_step_sql(f'l{_i}', f's{_i}')}"
+    _all = f"SELECT * FROM l{_i} UNION ALL SELECT *, {_i} FROM s{_i}"
 
 
-@query(f"WITH {_full} SELECT \"user\", lat, lon, round(km, 3) AS km FROM upto UNION ALL SELECT \"user\", lat, lon, round(km, 3) AS km FROM two")
+@query(f"WITH {_full} SELECT \"user\", lat, lon, round(km, 3) AS km FROM ({_all})")
 def slp_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lp.propagate(edges(spark, sf_dir), lp.seeds(tags(spark, sf_dir), 1), 2).select("user", "lat", "lon", F.round("km", 3).alias("km"))
+    return lp.propagate(edges(spark, sf_dir), seeded(spark, sf_dir), ROUNDS).select("user", "lat", "lon", F.round("km", 3).alias("km"))
 
 
-@query(f"WITH {_full} SELECT \"user\", 0 AS iteration FROM seeds UNION ALL SELECT \"user\", 1 FROM one UNION ALL SELECT \"user\", 2 FROM two")
+@query(f"WITH {_full} SELECT \"user\", iteration FROM ({_all})")
 def slp_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lp.propagate(edges(spark, sf_dir), lp.seeds(tags(spark, sf_dir), 1), 2).select("user", "iteration")
+    return lp.propagate(edges(spark, sf_dir), seeded(spark, sf_dir), ROUNDS).select("user", "iteration")
 
 
 # --- signal ----------------------------------------------------------------------------------

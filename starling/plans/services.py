@@ -17,7 +17,7 @@ from ..sources.storage import new_path
 from ..sources.tables import AREAS_SQL, COUNTRIES_SQL, GRID, MESSAGES_SQL, POPULATION_SQL, areas, countries, messages, population, table
 from ..streaming.collect import matched
 from ..streaming.progress import milestones
-from .inference import SEEDS_SQL, edges, gazetteer, tags
+from .inference import edges, gazetteer, seeded, seeds_sql
 from .registry import query
 from .spatial import MAX_LAT
 
@@ -175,10 +175,10 @@ def profile_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user", "private", "origin", "fresh", F.col("mentions")["7"].cast("double").alias("mentions"))
 
 
-@query(f"WITH {SEEDS_SQL} SELECT \"user\", lat, lon, round(km, 3) AS km FROM seeds WHERE \"user\" = 4")
+@query(f"WITH {seeds_sql(1)} SELECT \"user\", lat, lon, round(km, 3) AS km FROM seeds WHERE \"user\" = 4")
 def slp_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user whose own geotags label them: an answer without a round, as long as it isn't a test."""
-    found = lp.propagate(edges(spark, sf_dir), lp.seeds(tags(spark, sf_dir), 1), 2, 4)
+    found = lp.propagate(edges(spark, sf_dir), seeded(spark, sf_dir, 1), 10, 4)
     return found.where("user = 4").select("user", "lat", "lon", F.round("km", 3).alias("km"))
 
 

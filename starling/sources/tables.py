@@ -38,16 +38,17 @@ MESSAGES_SQL = """messages AS (
   FROM events)"""
 
 
-def mentions(spark: SparkSession, sf_dir: str, people: int = 60) -> DataFrame:
-    """Who mentions whom how often, from orders and line items."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") * 7 % people).alias("dst"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % people).alias("src"))
-    return items.join(orders, "l_orderkey").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who mentions whom how often, from orders and line items: ten customers write as one user (as many users as
+    events have), and mention users whose numbers are up to four away."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") * 7 % 9 - 4).alias("step"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.expr("o_custkey div 10").alias("src"))
+    return items.join(orders, "l_orderkey").select("src", F.abs(F.col("src") + F.col("step")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("cnt"))
 
 
 MENTIONS_SQL = """mentions AS (
-  SELECT o_custkey % 60 AS src, l_suppkey * 7 % 60 AS dst, count(*) AS cnt
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 60 <> l_suppkey * 7 % 60 GROUP BY ALL)"""
+  SELECT src, dst, count(*) AS cnt FROM (SELECT o_custkey // 10 AS src, abs(o_custkey // 10 + l_suppkey * 7 % 9 - 4) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+  WHERE src <> dst GROUP BY ALL)"""
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

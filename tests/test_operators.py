@@ -1,5 +1,6 @@
 """Operators on small tables with known answers."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -122,6 +123,57 @@ def test_stack(spark):
     assert ra.squares(fine).columns[-1] == "ring"
 
 
+def brute_cells(ring, scale, box=None):
+    """Cells whose centre is inside the ring or that hold a corner; with a box, those that touch it."""
+    column, row = lambda x: math.floor((x + 180) * scale), lambda y: math.floor((90 - y) * scale)
+    out = {(column(x), row(y)) for x, y in ring}
+    (xa, xb), (ya, yb) = ((min(v), max(v)) for v in zip(*ring))
+    for gx in range(column(xa), column(xb) + 1):
+        for gy in range(row(yb), row(ya) + 1):
+            x, y, odd = (gx + 0.5) / scale - 180, 90 - (gy + 0.5) / scale, False
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                odd ^= (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+            out |= {(gx, gy)} if odd else set()
+    if box:
+        x0, y0, x1, y1 = box
+        out = {(x, y) for x, y in out if column(x0) <= x <= column(x1) and row(y1) <= y <= row(y0)}
+    return out
+
+
+def brute_tops(rows, scale, box=None):
+    best, stack = {}, {}
+    for name, ring, weight in rows:
+        for cell in brute_cells(ring, scale, box):
+            best[name, cell] = max(best.get((name, cell), 0), weight)
+    for (_, cell), weight in best.items():
+        stack[cell] = stack.get(cell, 0) + weight
+    top = max(stack.values())
+    return {cell for cell, weight in stack.items() if weight >= 0.75 * top - 1e-9}, top
+
+
+def test_inference_equals_brute_force(spark):
+    """Circles, squares, several polygons of one indicator, equal evidence of two keys, keys with one indicator."""
+    draw, rows = random.Random(5), []
+    for key in range(8):
+        for name, weight in (("coordinate", 2.72), ("field", 1.51), ("website", 1.07), ("zone", 0.56), ("zone", 0.56)):
+            if key and draw.random() < 0.35:
+                continue
+            x, y, size = draw.uniform(-4, 4), draw.uniform(48, 54), draw.uniform(0.3, 3.0)
+            circle = [(x + 0.1013 * math.cos(k / 18 * math.pi), y + 0.1013 * math.sin(k / 18 * math.pi)) for k in range(36)]
+            rows.append((key, name, circle if name == "coordinate" else square(x, y, size), weight))
+    rows += [(99, *r[1:]) for r in rows if r[0] == 0]
+    got = {}
+    for r in ra.infer(spark.createDataFrame(rows, "key int, indicator string, ring array<struct<x:double,y:double>>, weight double")).collect():
+        got.setdefault(r.key, (r.scale, round(r.best, 6), set()))[2].add((r.gx, r.gy))
+    for key in {r[0] for r in rows}:
+        own = [r[1:] for r in rows if r[0] == key]
+        xs, ys = zip(*brute_tops(own, 0.5)[0])
+        box = (min(xs) * 2 - 182, 86 - max(ys) * 2, max(xs) * 2 - 176, 92 - min(ys) * 2)
+        scale = math.floor(math.ceil(64800 / ((box[2] - box[0]) * (box[3] - box[1]))) ** 0.4)
+        cells, top = brute_tops(own, scale, box)
+        assert got[key] == (scale, round(top, 6), cells), key
+
+
 def test_location_field_falls_back(spark):
     gaz = spark.createDataFrame([("Leeds", 1, "Leeds", "city, village", 4.0, -1.5, 53.8), ("Leeds", 2, "Leeds", "city", 2.0, 0.0, 50.0), ("Kent", 1, "Kent", "state, region", 1.0, 1.0, 51.0), ("UKX", 1, "UKX", "country", 1.0, 0.0, 52.0)], "query string, rank int, name string, fcl_name string, score double, lng double, lat double")
     areas = spark.createDataFrame([(1, "KENT", "kent", None, None, None, 0.0, 51.0, 1.0, 52.0)], "area_id int, n1 string, n2 string, n3 string, n4 string, n5 string, x0 double, y0 double, x1 double, y1 double")
