@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from starling.llm import lsa_vote, mcd_rules, secret_links, string_tiling
-from starling.llm.debruijn import runs, sliding_min, strip_repeats
+from starling.llm import debruijn
+from starling.llm.debruijn import repeats, runs, sliding_min, strip_repeats, unitigs
 from starling.llm.jaccard_join import one_of_each, prefix, similar_classes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,6 +101,38 @@ def test_repeats_equal_brute_force(plain):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_unitigs_equal_brute_force(spark, monkeypatch, block):
+    """A long line over many blocks, branches out and in, a gap in places, a change of source, a second row, a loop."""
+    edges = [(k, k + 1, 1, k) for k in range(100)] + [(50, 500, 2, 5), (600, 20, 2, 9), (1000, 1001, 1, 100), (1001, 1002, 1, 102)]
+    edges += [(100 + k, 101 + k, 3, k) for k in range(30)] + [(2000 + k, 2001 + k, 1, (1 << 32) + k) for k in range(9)] + [(7000, 7000, 4, 0)]
+    monkeypatch.setattr(debruijn, "BLOCK", block)
+    got = {(r.left, r.right): r.unitig for r in unitigs(spark.createDataFrame(edges, "left bigint, right bigint, source bigint, place bigint").repartition(3)).collect()}
+    before = {}
+    for e in edges:
+        into, out = [x for x in edges if x[1] == e[0]], [x for x in edges if x[0] == e[0]]
+        if len(into) == len(out) == 1 and into[0][2] == e[2] and into[0][3] + 1 == e[3]:
+            before[e] = into[0]
+    want = {}
+    for e in edges:
+        first = e
+        while first in before:
+            first = before[first]
+        want[e[:2]] = first[3]
+    assert got == want and len(got) == len(edges)
+
+
+def test_spans_stand_at_their_source(plain, monkeypatch):
+    monkeypatch.setattr(debruijn, "BLOCK", 64)
+    texts = {r.doc_id: WORD.findall(r.text or "") for r in plain.collect()}
+    found = repeats(plain).collect()
+    assert len(found) > 5
+    for r in found:
+        at = r.source_place & 0xFFFFFFFF
+        assert r.source < r.doc_id
+        assert texts[r.doc_id][r.first : r.last + 50] == texts[r.source][at : at + r.last - r.first + 50]
+
+
 def test_repeats_of_odd_rows(odd, none):
     assert strip_repeats(odd).count() == odd.count()
     assert all(r.n_removed == 0 for r in strip_repeats(odd).where("doc_id IS NULL").collect())
