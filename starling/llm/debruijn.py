@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import scratch
 from .common import WordIds, bit_table, has_bit, mix, small_batches, stored
 
 _B = 0x9E3779B97F4A7C15
@@ -92,19 +93,21 @@ def place(key: str | Column, at: str | Column) -> Column:
 
 def unitigs(edges: DataFrame) -> DataFrame:
     """edges (left, right, source, place) with ``unitig``, the place where the unitig of each starts in its source."""
-    end = lambda node, into: edges.select(
-        F.col(node).alias("node"), F.lit(into).alias("into"), F.lit(1 - into).alias("out"),
-        *[F.when(F.lit(bool(x)), F.col(c)).alias(n) for x, n, c in ((into, "s1", "source"), (into, "p1", "place"), (1 - into, "s2", "source"), (1 - into, "p2", "place"))],
-    )
-    degrees = end("right", 1).unionByName(end("left", 0)).groupBy("node")
-    degrees = degrees.agg(F.sum("into").alias("into"), F.sum("out").alias("out"), *[F.max(c).alias(c) for c in ("s1", "p1", "s2", "p2")])
-    joined = degrees.where("into = 1 AND out = 1 AND s1 = s2 AND p2 = p1 + 1").select(F.col("s2").alias("source"), F.col("p2").alias("place"), F.lit(1).alias("joined"))
-
-    rows = edges.withColumn("joined", F.lit(0)).unionByName(joined, allowMissingColumns=True).withColumn("block", F.expr(f"place div {BLOCK}"))
-    order = Window.partitionBy("source", "block").orderBy("place", F.desc("joined"))
-    goes_on = (F.lag("joined").over(order) == 1) & (F.lag("place").over(order) == F.col("place"))
-    rows = rows.withColumn("start", F.when((F.col("joined") == 0) & ~F.coalesce(goes_on, F.lit(False)), F.col("place")))
-    rows = stored(rows.withColumn("unitig", F.max("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("joined = 0").drop("start", "joined"))
+    with scratch(edges.sparkSession) as keep:
+        edges = stored(edges)
+        end = lambda node, into: edges.select(
+            F.col(node).alias("node"), F.lit(into).alias("into"), F.lit(1 - into).alias("out"),
+            *[F.when(F.lit(bool(x)), F.col(c)).alias(n) for x, n, c in ((into, "s1", "source"), (into, "p1", "place"), (1 - into, "s2", "source"), (1 - into, "p2", "place"))],
+        )
+        degrees = end("right", 1).unionByName(end("left", 0)).groupBy("node")
+        degrees = degrees.agg(F.sum("into").alias("into"), F.sum("out").alias("out"), *[F.max(c).alias(c) for c in ("s1", "p1", "s2", "p2")])
+        joined = degrees.where("into = 1 AND out = 1 AND s1 = s2 AND p2 = p1 + 1").select(F.col("s2").alias("source"), F.col("p2").alias("place"), F.lit(1).alias("joined"))
+
+        rows = edges.withColumn("joined", F.lit(0)).unionByName(joined, allowMissingColumns=True).withColumn("block", F.expr(f"place div {BLOCK}"))
+        order = Window.partitionBy("source", "block").orderBy("place", F.desc("joined"))
+        goes_on = (F.lag("joined").over(order) == 1) & (F.lag("place").over(order) == F.col("place"))
+        rows = rows.withColumn("start", F.when((F.col("joined") == 0) & ~F.coalesce(goes_on, F.lit(False)), F.col("place")))
+        rows = keep(rows.withColumn("unitig", F.max("start").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("joined = 0").drop("start", "joined"))
 
     # what the last edge of each block belongs to: a unitig that starts in it, or whatever the block ``up`` ends in
     heads = stored(rows.groupBy("source", "block").agg(F.max("unitig").alias("unitig")).withColumn("up", F.col("block") - 1))
@@ -148,13 +151,6 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
                     out.append((int(minimizer[x]), int(content[x]), d, key, a, n, nodes[a : a + n + 1].tobytes()))
             yield pd.DataFrame(out, columns=["minimizer", "content", "doc_id", "key", "first", "n", "nodes"])
 
-    paths_ = stored(rows.mapInPandas(occurrences, "minimizer bigint, content bigint, doc_id bigint, key bigint, first int, n int, nodes binary"))
-    table.destroy()
-    same = paths_.groupBy("minimizer", "content")
-    by_content = stored(same.agg(F.min("doc_id").alias("source"), F.min_by(place("key", "first"), "doc_id").alias("source_place"), F.max("doc_id").alias("last_doc")))
-    bare = paths_.select("minimizer", "content", "doc_id", "key", "first", "n").join(by_content, ["minimizer", "content"])
-    whole = bare.where("source < doc_id").select("doc_id", "key", "first", (F.col("first") + F.col("n") - 1).alias("last"), "source", "source_place")
-
     def edges_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             nodes, n = [np.frombuffer(x, np.int64) for x in f["nodes"]], f["n"].to_numpy()
@@ -163,16 +159,24 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
                 ends = {"left": np.concatenate([x[:-1] for x in nodes]), "right": np.concatenate([x[1:] for x in nodes])}
                 yield pd.DataFrame({**ends, **{c: np.repeat(f[c].to_numpy(), n) for c in ("doc_id", "key", "last_doc")}, "at": at})
 
-    firsts = paths_.join(by_content, ["minimizer", "content"]).where("source = doc_id").select("doc_id", "key", "last_doc", "first", "n", "nodes")
-    single = stored(firsts.mapInPandas(edges_of, "left bigint, right bigint, doc_id bigint, key bigint, last_doc bigint, at int"))
-    edges = single.groupBy("left", "right").agg(F.min("doc_id").alias("source"), F.min_by(place("key", "at"), "doc_id").alias("place"), F.max("last_doc").alias("last_doc"))
-    found = unitigs(stored(edges.where("source < last_doc").drop("last_doc")))
-
-    step = single.join(found, ["left", "right"]).where("source < doc_id").withColumn("apart", F.col("place") - F.col("at"))
-    line = ["doc_id", "key", "source", "unitig", "apart"]
-    step = step.withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("at")))
-    spans = step.groupBy(*line, "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("place").alias("source_place"))
-    return whole.unionByName(spans.select("doc_id", "key", "first", "last", "source", "source_place"))
+    with scratch(spark) as keep:
+        with scratch(spark) as keep_edges:
+            paths_ = stored(rows.mapInPandas(occurrences, "minimizer bigint, content bigint, doc_id bigint, key bigint, first int, n int, nodes binary"))
+            table.destroy()
+            same = paths_.groupBy("minimizer", "content")
+            by_content = stored(same.agg(F.min("doc_id").alias("source"), F.min_by(place("key", "first"), "doc_id").alias("source_place"), F.max("doc_id").alias("last_doc")))
+            bare = paths_.select("minimizer", "content", "doc_id", "key", "first", "n").join(by_content, ["minimizer", "content"])
+            whole = keep(bare.where("source < doc_id").select("doc_id", "key", "first", (F.col("first") + F.col("n") - 1).alias("last"), "source", "source_place"))
+            firsts = paths_.join(by_content, ["minimizer", "content"]).where("source = doc_id").select("doc_id", "key", "last_doc", "first", "n", "nodes")
+            single = keep_edges(firsts.mapInPandas(edges_of, "left bigint, right bigint, doc_id bigint, key bigint, last_doc bigint, at int"))
+        edges = single.groupBy("left", "right").agg(F.min("doc_id").alias("source"), F.min_by(place("key", "at"), "doc_id").alias("place"), F.max("last_doc").alias("last_doc"))
+        found = unitigs(edges.where("source < last_doc").drop("last_doc"))
+        step = single.join(found, ["left", "right"]).where("source < doc_id").withColumn("apart", F.col("place") - F.col("at"))
+        line = ["doc_id", "key", "source", "unitig", "apart"]
+        step = step.withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("at")))
+        spans = step.groupBy(*line, "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("place").alias("source_place"))
+        spans = keep(spans.select("doc_id", "key", "first", "last", "source", "source_place"))
+    return whole.unionByName(spans)
 
 
 def strip_repeats(docs: DataFrame, window: int = 50, k: int = 16) -> DataFrame:
