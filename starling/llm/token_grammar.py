@@ -27,27 +27,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, spread
-from .tokens import Encoder
+from .tokens import shared
 
 _HEAD = struct.Struct("<QIIIIII")
 _MAGIC = b"RPG2"
+#: Symbols are moved together as long as a round replaces one of so many.
+SHARE = 50
 
 
 def _chosen(left: list[int], right: list[int], most: int) -> list[int]:
     """Which pairs, in the order given, can be replaced together."""
-    sides: dict[int, int] = {}
+    sides = bytearray(max(max(left), max(right)) + 1)  # 1: on the left of one, 2: on the right, 3: both of a pair of equals
     out = []
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        x = sides[a]
         if a == b:
-            if a not in sides:
+            if not x:
                 sides[a] = 3
                 out.append(k)
-        elif sides.get(a, 1) == 1 and sides.get(b, 2) == 2:
+        elif x < 2 and not sides[b] & 1:
             sides[a], sides[b] = 1, 2
             out.append(k)
-        if len(out) == most:
-            break
-    return out
+    return out[:most]
 
 
 def _codes(a: np.ndarray, b: np.ndarray, out: np.ndarray, turn: int, exact: bool, bits: int = 18) -> tuple[np.ndarray, int]:
@@ -64,20 +65,75 @@ def _codes(a: np.ndarray, b: np.ndarray, out: np.ndarray, turn: int, exact: bool
     return h, len(keys)
 
 
+def _later(twins: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of places whose pair has equal sides, every other one from its run's start; follows says which go on from the one before."""
+    begins = np.flatnonzero(np.append(True, ~follows))
+    return twins[(np.arange(len(twins)) - np.repeat(begins, np.diff(begins, append=len(twins)))) % 2 == 1]
+
+
+def _picked(h: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, totals: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """A round's pairs (k, 2), the places they stand at, and which of the pairs stands there; None if no code has a pair twice."""
+    bar = max(2, int(totals.max()) // 30)  # the most frequent first
+    while True:
+        some = np.flatnonzero((totals >= bar)[h])
+        hs, aa, bb = h[some], a[some], b[some]
+        sample = np.zeros(n + 1, np.int64)
+        sample[hs] = np.arange(len(some))  # one pair stands for its code; others of that code wait for a later round
+        same = (aa == aa[sample[hs]]) & (bb == bb[sample[hs]])
+        some, hs = some[same], hs[same]
+        counts = np.bincount(hs, minlength=n + 1)
+        order = np.flatnonzero(counts >= bar)
+        if len(order) or bar == 2:
+            break
+        bar = max(2, bar // 2)
+    if not len(order):
+        return None
+    order = order[np.argsort(-counts[order], kind="stable")]
+    one, two = aa[sample[order]], bb[sample[order]]
+    take = _chosen(one.tolist(), two.tolist(), most)
+    which = np.full(n + 1, -1, np.int64)
+    which[order[take]] = np.arange(len(take))
+    which = which[hs]
+    return np.stack([one[take], two[take]], 1), some[which >= 0], which[which >= 0]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30, hashed: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (n, 2) and end marks. ends marks the last id of each document; nonterminals count from first.
 
     Rounds follow each other until no pair occurs twice or there are ``most`` rules; a round's pairs are at least a
-    thirtieth as frequent as its first. Symbols are linked, not moved. A pair that occurs once never occurs again, as new
-    pairs hold new symbols only, so a round looks at places whose pair occurred twice in the last one or is new. More than
-    ``hashed`` of them are counted by hash as long as that finds any to replace, else exactly.
+    thirtieth as frequent as its first. While there are more than ``hashed`` symbols and a round replaces a good share of
+    them, symbols are moved together after it. Then they are linked, not moved: a pair that occurs once never occurs again,
+    as new pairs hold new symbols only, so a round looks at places whose pair occurred twice in the last one or is new.
+    More than ``hashed`` of them are counted by hash as long as that finds any to replace, else exactly.
     """
-    size = len(ids)
-    s = np.append(ids.astype(np.uint32), np.uint32(0))
+    s, ends, rules, n_rules, exact, turn = ids.astype(np.uint32), ends.copy(), [], 0, False, 0
+    while n_rules < most and len(s) > hashed:
+        a, b, out, turn = s[:-1], s[1:], ends[:-1].copy(), turn + 1
+        twins = np.flatnonzero((a == b) & ~out)
+        if len(twins):
+            out[_later(twins, twins[1:] == twins[:-1] + 1)] = True
+        h, n = _codes(a, b, out, turn, False)
+        totals = np.bincount(h, minlength=n + 1)
+        totals[n] = 0
+        found = _picked(h, n, a, b, totals, most - n_rules)
+        if found is None:
+            break
+        pairs, spot, which = found
+        s[spot] = first + n_rules + which
+        ends[spot] = ends[spot + 1]
+        stays = np.ones(len(s), bool)
+        stays[spot + 1] = False
+        s, ends = s[stays], ends[stays]
+        rules.append(pairs)
+        n_rules += len(pairs)
+        if len(spot) * SHARE < len(s):
+            break
+
+    size = len(s)
+    s = np.append(s, np.uint32(0))
     right, left = np.arange(1, size + 2), np.arange(-1, size)
     right[:size][ends], left[:size][np.append(True, ends[:-1])[:size]] = size, size  # place size is nobody's
     active = np.append(right[:size] < size, False)
-    rules, n_rules, exact, turn = [], 0, False, 0
     while n_rules < most:
         at = np.flatnonzero(active)
         if not len(at):
@@ -87,37 +143,18 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30,
         twins = np.flatnonzero(a == b)  # runs: every other place from the run's start
         if len(twins):
             place = at[twins]
-            begins = np.flatnonzero(np.append(True, right[place[:-1]] != place[1:]))
-            out[twins[(np.arange(len(twins)) - np.repeat(begins, np.diff(begins, append=len(twins)))) % 2 == 1]] = True
+            out[_later(twins, right[place[:-1]] == place[1:])] = True
         exact, turn = exact or len(at) <= hashed, turn + 1
         h, n = _codes(a, b, out, turn, exact)
         totals = np.bincount(h, minlength=n + 1)
         totals[n] = 0
-        bar = max(2, int(totals.max()) // 30)  # the most frequent first
-        while True:
-            some = np.flatnonzero((totals >= bar)[h])
-            hs, aa, bb = h[some], a[some], b[some]
-            sample = np.zeros(n + 1, np.int64)
-            sample[hs] = np.arange(len(some))  # one pair stands for its code; others of that code wait for a later round
-            same = (aa == aa[sample[hs]]) & (bb == bb[sample[hs]])
-            some, hs = some[same], hs[same]
-            counts = np.bincount(hs, minlength=n + 1)
-            order = np.flatnonzero(counts >= bar)
-            if len(order) or bar == 2:
-                break
-            bar = max(2, bar // 2)
-        if not len(order):
+        found = _picked(h, n, a, b, totals, most - n_rules)
+        if found is None:
             if exact:
                 break
             exact = True
             continue
-        order = order[np.argsort(-counts[order], kind="stable")]
-        one, two = aa[sample[order]], bb[sample[order]]
-        take = _chosen(one.tolist(), two.tolist(), most - n_rules)
-        code = np.zeros(n + 1, np.uint32)
-        code[order[take]] = first + n_rules + np.arange(len(take), dtype=np.uint32)
-        rules.append(np.stack([one[take], two[take]], 1))
-        n_rules += len(take)
+        pairs, replaced, which = found
         # places whose pair may occur twice stay; so does a run's other half
         mates = h.copy()
         if exact and len(twins):
@@ -127,10 +164,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30,
         elif len(twins):
             mates[twins] = _codes(a[twins], b[twins], np.zeros(len(twins), bool), turn, False)[0]
         active[at[totals[mates] < 2]] = False
-        new = code[hs]
-        gone = new > 0
-        spot = at[some[gone]]
-        s[spot] = new[gone]
+        spot = at[replaced]
+        s[spot] = first + n_rules + which
+        rules.append(pairs)
+        n_rules += len(pairs)
         eaten = right[spot]
         after = right[eaten]
         right[spot] = after
@@ -262,7 +299,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     small_batches(docs.sparkSession, 600)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, part, before, ids, held, size = Encoder(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
+        encoder, part, before, ids, held, size = shared(tokenizer), TaskContext.get().partitionId(), 0, [], [], 0
 
         def out() -> pd.DataFrame:
             return pd.DataFrame({"part": [part], "before": [before], "n_docs": [len(ids)], "n_tokens": [size], "image": [pack(ids, held, vocabulary)]})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +161,9 @@ class Encoder:
             own = np.frombuffer(self.raw(column[k].as_py()), "<u4") if whole is not None and whole[k] else ids[a:b]
             out.append(np.concatenate([own, tail]))
         return out
+
+
+@cache
+def shared(path: str | None = None) -> Encoder:
+    """This process's encoder: a Python worker that runs many tasks loads it once and keeps the pieces it knows."""
+    return Encoder(path)

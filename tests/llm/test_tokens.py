@@ -1,16 +1,19 @@
 """Tokens, the grammar's files, and packing."""
 
+import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from starling.llm import token_grammar
 from starling.llm.config_packing import Plan, best_configuration, pack_documents
 from starling.llm.token_grammar import Grammar, Shard, compress, pack, read_shards, write_shards
-from starling.llm.tokens import Encoder, public
+from starling.llm.tokens import Encoder, public, shared
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +73,38 @@ def test_grammar_goes_on_until_no_pair_is_left():
     assert len(compress(ids, ends, 100, 40)[1]) == 40
 
 
+@pytest.mark.parametrize("share", [2, 50, 10**9])
+def test_moved_and_linked_rounds_go_on_until_no_pair_is_left(monkeypatch, share):
+    monkeypatch.setattr(token_grammar, "SHARE", share)
+    r = np.random.default_rng(1)
+    docs = [np.append(x, 0).astype(np.uint32) for x in (r.integers(1, 9, 5000), np.full(777, 5), np.tile([3, 3, 3, 4], 300), [], [7], r.integers(1, 3000, 4000))]
+    ids, ends = np.concatenate(docs), np.zeros(sum(map(len, docs)), bool)
+    ends[np.cumsum([len(d) for d in docs]) - 1] = True
+    symbols, rules, marks = compress(ids, ends, 3000, hashed=100)
+    assert Grammar(rules, 3000).expand(symbols).tolist() == ids.tolist() and marks.sum() == len(docs)
+    assert len(np.unique(rules, axis=0)) == len(rules)
+    seen, last = {}, {}
+    for k in np.flatnonzero(~marks[:-1]).tolist():
+        pair = int(symbols[k]), int(symbols[k + 1])
+        if last.get(pair, -2) < k - 1:
+            seen[pair], last[pair] = seen.get(pair, 0) + 1, k
+    assert max(seen.values()) == 1
+    assert len(compress(ids, ends, 3000, 33, hashed=100)[1]) == 33
+
+
+def test_a_worker_keeps_its_encoder(spark):
+    def known(frames):
+        for f in frames:
+            encoder = shared()
+            before = len(encoder.rest)
+            encoder.documents([f"a wordof{x} b" for x in f["id"]])
+            yield pd.DataFrame({"pid": [os.getpid()], "encoder": [id(encoder)], "before": [before]})
+
+    got = spark.range(0, 64, 1, 16).mapInPandas(known, "pid long, encoder long, before long").collect()
+    assert len({(r.pid, r.encoder) for r in got}) == len({r.pid for r in got}) < len(got)
+    assert sum(r.before > 0 for r in got) >= len(got) - len({r.pid for r in got})
+
+
 def test_shard_reads_anywhere():
     r = np.random.default_rng(0)
     docs = [np.append(r.integers(0, 50, n), 0).astype(np.uint32) for n in (0, 3, 4000, 1, 9000)] + [np.array([7, 8] * 500 + [0], np.uint32), np.array([5] * 999 + [0], np.uint32)]
