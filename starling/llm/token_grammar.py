@@ -76,10 +76,10 @@ def _picked(h: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, totals: np.ndar
     bar = max(2, int(totals.max()) // 30)  # the most frequent first
     while True:
         some = np.flatnonzero((totals >= bar)[h])
-        hs, aa, bb = h[some], a[some], b[some]
-        sample = np.zeros(n + 1, np.int64)
-        sample[hs] = np.arange(len(some))  # one pair stands for its code; others of that code wait for a later round
-        same = (aa == aa[sample[hs]]) & (bb == bb[sample[hs]])
+        hs, pair = h[some], a[some].astype(np.uint64) << np.uint64(32) | b[some]
+        sample = np.zeros(n + 1, np.uint64)
+        sample[hs] = pair  # one pair stands for its code; others of that code wait for a later round
+        same = pair == sample[hs]
         some, hs = some[same], hs[same]
         counts = np.bincount(hs, minlength=n + 1)
         order = np.flatnonzero(counts >= bar)
@@ -89,12 +89,13 @@ def _picked(h: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, totals: np.ndar
     if not len(order):
         return None
     order = order[np.argsort(-counts[order], kind="stable")]
-    one, two = aa[sample[order]], bb[sample[order]]
+    one, two = (sample[order] >> np.uint64(32)).astype(np.uint32), sample[order].astype(np.uint32)
     take = _chosen(one.tolist(), two.tolist(), most)
     which = np.full(n + 1, -1, np.int64)
     which[order[take]] = np.arange(len(take))
     which = which[hs]
-    return np.stack([one[take], two[take]], 1), some[which >= 0], which[which >= 0]
+    taken = which >= 0
+    return np.stack([one[take], two[take]], 1), some[taken], which[taken]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30, hashed: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,6 +182,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, most: int = 1 << 30,
     return s[there], np.concatenate(rules) if rules else np.empty((0, 2), np.uint32), right[there] == size
 
 
+def lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """The expansion length of each symbol."""
+    length, done = np.ones(first + len(rules), np.int64), 0
+    latest = np.maximum.accumulate(rules.max(1)) if len(rules) else rules
+    while done < len(rules):  # a block of rules that refer to earlier symbols only
+        end = int(np.searchsorted(latest, first + done))
+        length[first + done : first + end] = length[rules[done:end]].sum(1)
+        done = end
+    return length
+
+
 class Grammar:
     """Expansions of all symbols of a shard, as one array with a start and a length for each symbol."""
 
@@ -229,7 +241,7 @@ def pack(doc_ids: list, docs: list[np.ndarray], vocabulary: int) -> bytes:
     ends = np.zeros(len(ids), bool)
     ends[np.cumsum(tokens, dtype=np.int64) - 1] = True
     symbols, rules, e = compress(ids, ends, vocabulary)
-    length = Grammar(rules, vocabulary).length[vocabulary:]
+    length = lengths(rules, vocabulary)[vocabulary:]
     bits, wide = (vocabulary + len(rules)).bit_length(), 2 if length.max(initial=0) < 1 << 16 else 4
     per_doc = np.diff(np.flatnonzero(e), prepend=-1).astype(np.uint32)
     nulls = np.array([x is None for x in doc_ids], np.uint8)
