@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import scratch
+from ..sources.storage import released, scratch
 from .common import WordIds, bit_table, has_bit, mix, small_batches, stored
 
 _B = 0x9E3779B97F4A7C15
@@ -138,7 +138,8 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
 
     seen = rows.select("doc_id", "text").mapInPandas(least, "minimizer bigint, doc_id bigint")
     seen = seen.groupBy("minimizer").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minimizer")
-    table = spark.sparkContext.broadcast(bit_table(seen, "minimizer", bits))
+    with released(spark):
+        table = spark.sparkContext.broadcast(bit_table(seen, "minimizer", bits))
 
     def occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, bit = WordIds(), table.value
@@ -159,7 +160,7 @@ def repeats(docs: DataFrame, window: int = 50, k: int = 16, bits: int = 26) -> D
                 ends = {"left": np.concatenate([x[:-1] for x in nodes]), "right": np.concatenate([x[1:] for x in nodes])}
                 yield pd.DataFrame({**ends, **{c: np.repeat(f[c].to_numpy(), n) for c in ("doc_id", "key", "last_doc")}, "at": at})
 
-    with scratch(spark) as keep:
+    with released(spark), scratch(spark) as keep:
         with scratch(spark) as keep_edges:
             paths_ = stored(rows.mapInPandas(occurrences, "minimizer bigint, content bigint, doc_id bigint, key bigint, first int, n int, nodes binary"))
             table.destroy()

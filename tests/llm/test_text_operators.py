@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -139,6 +140,22 @@ def test_repeats_of_odd_rows(odd, none):
     assert strip_repeats(none).count() == 0
 
 
+def test_repeats_leave_no_shuffle_files(spark, plain):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x and x.endswith(".data")}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(key)
+    found = repeats(plain)
+    for _ in range(40):  # removal is asynchronous
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(key) == setting
+    assert found.count() > 5
+
+
 def test_runs_and_minima():
     ids = np.random.default_rng(0).integers(0, 2**63, 100).astype(np.uint64)
     for n in (1, 2, 7, 16, 50, 100):
