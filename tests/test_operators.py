@@ -253,3 +253,26 @@ def test_settings(tmp_path):
     (tmp_path / "b.ini").write_text("[slp]\nnope = 2\n")
     with pytest.raises(ValueError):
         load(str(tmp_path / "b.ini"))
+
+
+def test_contours_are_those_of_the_union():
+    import numpy as np
+
+    of = lambda cells, scale=1: ra.contours(*(np.array(v) for v in zip(*cells)), scale)
+    area = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
+    assert np.allclose(of([(180, 89)]), [[(-0.01, -0.01), (1.01, -0.01), (1.01, 1.01), (-0.01, 1.01)]])
+    (row,) = of([(180, 89), (181, 89), (182, 89)])
+    assert len(row) == 4 and abs(area(row) - 3.02 * 1.02) < 1e-9
+    (corner,) = of([(180, 89), (181, 88)])  # squares a little wide overlap at the corner
+    assert len(corner) == 8 and abs(area(corner) - (2 * 1.02**2 - 0.02**2)) < 1e-9
+    ringed = of([(x, y) for x in range(180, 183) for y in range(80, 83) if (x, y) != (181, 81)])
+    assert sorted(round(area(r), 6) for r in ringed) == [round(-(0.98**2), 6), round(3.02**2, 6)]
+    assert len(of([(180, 80), (184, 80)], 20)) == 2
+
+
+def test_results_hold_merged_contours(spark):
+    schema = "key int, indicator string, ring array<struct<x:double,y:double>>, weight double"
+    rows = [(1, "tz", square(2.1, 40.1, 3.8), 0.56), (2, "ws", square(2.1, 40.1, 3.8), 1.0), (2, "ws", square(30.0, 40.1, 3.8), 1.0), (3, "tz", square(2.1, 40.1, 3.8), 0.56)]
+    got = {r.key: r for r in ra.results(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: (len(r.poly), r.inds, r.polys) for k, r in got.items()} == {1: (1, 1, 1), 2: (2, 1, 2), 3: (1, 1, 1)}
+    assert got[1].poly == got[3].poly and abs(got[1].weight - 0.42) < 1e-9
