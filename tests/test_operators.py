@@ -276,3 +276,19 @@ def test_results_hold_merged_contours(spark):
     got = {r.key: r for r in ra.results(spark.createDataFrame(rows, schema)).collect()}
     assert {k: (len(r.poly), r.inds, r.polys) for k, r in got.items()} == {1: (1, 1, 1), 2: (2, 1, 2), 3: (1, 1, 1)}
     assert got[1].poly == got[3].poly and abs(got[1].weight - 0.42) < 1e-9
+
+
+def test_near_counts_equal_brute_force(spark):
+    r = random.Random(6)
+    rows = [(k, T0 + timedelta(seconds=r.random() * 7200), 51 + r.random() * 0.4, -1 + r.random() * 0.4) for k in range(300)]
+    rows += [(300 + k, T0 + timedelta(seconds=r.randrange(1200)), 51 + k % 7 * 0.03, -1.0) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, lat double, lon double")
+    got = {p.id: p.near for p in sp.near_counts(df, "id", 12.0, 60.0, 1_200_000_000, 1).collect()}
+    near = {(a, b) for a in {x[2:] for x in rows} for b in {x[2:] for x in rows} if ed.km(a, b) < 12}
+    assert got == {a[0]: sum(0 <= (a[1] - b[1]).total_seconds() < 1200 and (a[2:], b[2:]) in near for b in rows) for a in rows}
+
+
+def test_near_pairs_do_not_broadcast_their_copies(spark):
+    df = spark.createDataFrame([(1, T0, 51.0, 0.0)], "id int, ts timestamp, lat double, lon double")
+    plan = sp.near_pairs(df, df, 12.0, 60.0, 1200)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
