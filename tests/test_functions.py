@@ -76,3 +76,9 @@ def test_population_curve(frame):
     from starling.operators.raster import focus
 
     assert values(frame, [16.0, 36.0, 64.0, 100.0, 64800.0], focus(F.col("x")), "x double") == [27, 20, 15, 13, 1]
+
+
+def test_vincenty_names_each_value_once(spark):
+    p = spark.createDataFrame([(51.5, -0.12)], "lat double, lon double")
+    text = p.select(geo.vincenty(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)))._jdf.queryExecution().analyzed().toString()
+    assert text.lower().count("atan2(") <= 2
