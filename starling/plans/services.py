@@ -196,7 +196,7 @@ def detected_by_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster file, curve and fold as one operator."""
     raster = esri_grid(spark).select("row", "col", "value")
     detection = ed.EventDetection(key="event_id", popmap=raster, grid=GRID, mincount=2, mediancount=5, params=ed.Params(radius=2.0))
-    return detection.run(messages(spark, sf_dir), MAX_LAT).select("status", "cluster_id", F.size("messages").alias("messages"), F.size("centres").alias("centres"))
+    return detection.run(messages(spark, sf_dir), MAX_LAT, tallied=True).select("status", "cluster_id", "messages", F.size("centres").alias("centres"))
 
 
 #: A ring around part of the messages, as the area of interest (lon, lat).
@@ -209,7 +209,7 @@ def detected_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = messages(spark, sf_dir).where(F.col("geo.type") == "Point")
     rows = rows.withColumn("place", F.reverse("geo.coordinates")).where(geo.inside_fixed(F.col("place")[0], F.col("place")[1], AREA))
     detection = ed.EventDetection(field="place", key="event_id", popfunc=lambda lon, lat: F.lit(4), params=ed.Params(radius=2.0, swap_axes=True))
-    return detection.run(rows, MAX_LAT).select("status", "cluster_id", F.size("messages").alias("messages"), F.size("centres").alias("centres"))
+    return detection.run(rows, MAX_LAT, tallied=True).select("status", "cluster_id", "messages", F.size("centres").alias("centres"))
 
 
 @query()
@@ -217,6 +217,6 @@ def detected_by_real_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a place of their own (realgeo), whatever geo says."""
     rows = messages(spark, sf_dir).withColumn("realgeo", F.when(F.col("event_id") % 3 != 0, F.struct(F.array("lat", "lon").alias("coordinates"))))
     detection = ed.EventDetection(field="realgeo.coordinates", key="event_id", popfunc=lambda lon, lat: F.lit(4), params=ed.Params(radius=2.0))
-    return detection.run(rows.where("realgeo IS NOT NULL"), MAX_LAT).select("status", "cluster_id", F.size("messages").alias("messages"), F.size("centres").alias("centres"))
+    return detection.run(rows.where("realgeo IS NOT NULL"), MAX_LAT, tallied=True).select("status", "cluster_id", "messages", F.size("centres").alias("centres"))
 
 

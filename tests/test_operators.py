@@ -292,3 +292,15 @@ def test_near_pairs_do_not_broadcast_their_copies(spark):
     df = spark.createDataFrame([(1, T0, 51.0, 0.0)], "id int, ts timestamp, lat double, lon double")
     plan = sp.near_pairs(df, df, 12.0, 60.0, 1200)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_tallied_folds_are_the_same_but_for_members(spark):
+    r, t, rows = random.Random(11), 0, []
+    for k in range(400):
+        t += r.choice([20, 300, 900, 4000])
+        rows.append((k, T0 + timedelta(seconds=t), 51 + r.randrange(8) * 0.03, r.choice([0.0, 3.0]), r.choice([2, 3])))
+    df = spark.createDataFrame(rows, "id bigint, ts timestamp, lat double, lon double, required int")
+    of = lambda rows, size: sorted((g.status, g.cluster_id, size(g.messages), len(g.centres), g.start, g.finish) for g in rows)
+    assert of(ed.detect(df, tallied=True).collect(), int) == of(ed.detect(df).collect(), len)
+    one = ed.serial(iter([(k, ts.timestamp(), (y, x), n) for k, ts, y, x, n in rows]), ed.Params())
+    assert sorted(n for s, _, n, *_ in of(ed.detect(df, tallied=True).collect(), int) if s != "unclustered") == sorted(len(c.messages) for c in [*one.active, *one.old])
